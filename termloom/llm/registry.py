@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import linededup, packing, quality_rules
 
 
 def queries() -> dict:
     return {
         "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op10_line_dedup": linededup.op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_quality_rules": quality_rules.OP8_SQL,
+        "op10_line_dedup": linededup.OP10_SQL,
+    }
