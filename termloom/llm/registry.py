@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import linededup, packing, quality_rules
+from . import linededup, packing, quality_rules, repair
 
 
 def queries() -> dict:
     return {
+        "op3_repair_token_output": repair.op3_repair_token_output,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op10_line_dedup": linededup.op10_line_dedup,
