@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import linededup, packing, quality_rules, repair
+from . import html_text, linededup, packing, quality_rules, repair, toxicity
 
 
 def queries() -> dict:
     return {
         "op3_repair_token_output": repair.op3_repair_token_output,
+        "op4_html_extraction": html_text.op4_html_extraction,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op10_line_dedup": linededup.op10_line_dedup,
