@@ -40,19 +40,32 @@ class ChunkEncoder:
 
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: set[str]) -> list[str]:
+        """Encodes the pieces that the memo lacks; returns those it has no lasting room for."""
+        missing = list(pieces.difference(self.memo))
+        for k in range(0, len(missing), 4096):
+            self.memo.update(zip(missing[k : k + 4096], self.raw(missing[k : k + 4096]), strict=True))
+        return missing if len(self.memo) > self.max_entries else []
+
+    def _forget(self, pieces: list[str]) -> None:
+        for x in pieces:
+            del self.memo[x]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; None and '' give no ids."""
-        memo, rest = self.memo, [i for i, t in enumerate(texts) if t and odd(t)]
+        rest = [i for i, t in enumerate(texts) if t and odd(t)]
         whole = dict(zip(rest, self.raw([texts[i] for i in rest]), strict=True))
         pieces = [[] if not t or i in whole else t.replace(" ", "\x01 ").replace("\n", "\x01\n").replace(",", "\x01,").replace(".", "\x01.").split("\x01") for i, t in enumerate(texts)]
-        missing = list(set().union(*pieces).difference(memo))
-        for k in range(0, len(missing), 4096):
-            memo.update(zip(missing[k : k + 4096], self.raw(missing[k : k + 4096]), strict=True))
-        get = memo.__getitem__
+        passing, get = self._learn(set().union(*pieces)), self.memo.__getitem__
         out = [whole[i] if i in whole else b"".join(map(get, p)) for i, p in enumerate(pieces)]
-        if len(memo) > self.max_entries:
-            for x in missing:
-                del memo[x]
+        self._forget(passing)
+        return out
+
+    def encode_pieces(self, pieces: list[str]) -> list[int]:
+        """Numbers of ids of single pieces, memoised."""
+        passing = self._learn(set(pieces))
+        out = [len(self.memo[p]) // 4 for p in pieces]
+        self._forget(passing)
         return out
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import html_text, linededup, packing, quality_rules, repair, toxicity
+from . import html_text, linededup, packing, quality_model, quality_rules, repair, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_edit_aware_token_counts": token_counts.op1_edit_aware_token_counts,
         "op3_repair_token_output": repair.op3_repair_token_output,
         "op4_html_extraction": html_text.op4_html_extraction,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_quality_classifier": quality_model.op9_quality_classifier,
         "op10_line_dedup": linededup.op10_line_dedup,
     }
 
