@@ -13,6 +13,9 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Also splits at ASCII punctuation, so that words compare without it.
+PUNCTUATED = np.zeros(256, dtype=bool)
+PUNCTUATED[:128] = [not chr(c).isalnum() for c in range(128)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,12 +52,12 @@ def buffer_of(texts) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]] if len(off) else raw[:0], off - (off[0] if len(off) else 0)
 
 
-def words_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word with A-Z lowered, its row, its first byte); words are runs without white space."""
+def words_of(raw: np.ndarray, off: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word with A-Z lowered, its row, its first byte); words are runs without blank bytes."""
     if not len(raw):
         z = np.zeros(0, np.int64)
         return z.astype(np.uint64), z, z
-    solid = ~BLANK[raw]
+    solid = ~blank[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[off] = True  # texts touch in the buffer: a word never runs across rows
     begin = np.flatnonzero(solid & (edge[:-1] | np.r_[True, ~solid[:-1]]))

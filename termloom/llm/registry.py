@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, linededup, packing, quality_model, quality_rules, repair, token_counts, toxicity
+from . import decontamination, html_text, linededup, packing, quality_model, quality_rules, repair, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_edit_aware_token_counts": token_counts.op1_edit_aware_token_counts,
         "op3_repair_token_output": repair.op3_repair_token_output,
         "op4_html_extraction": html_text.op4_html_extraction,
+        "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_quality_rules": quality_rules.op8_quality_rules,
