@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, linededup, packing, quality_model, quality_rules, repair, token_counts, toxicity
+from . import decontamination, html_text, jaccard_join, linededup, packing, quality_model, quality_rules, repair, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_edit_aware_token_counts": token_counts.op1_edit_aware_token_counts,
+        "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
         "op3_repair_token_output": repair.op3_repair_token_output,
         "op4_html_extraction": html_text.op4_html_extraction,
         "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_ngram_jaccard_join": jaccard_join.OP2_SQL,
         "op8_quality_rules": quality_rules.OP8_SQL,
         "op10_line_dedup": linededup.OP10_SQL,
     }
