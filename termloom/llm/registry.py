@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontamination, html_text, jaccard_join, linededup, packing, quality_model, quality_rules, repair, token_counts, toxicity
 
 
@@ -17,6 +19,7 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_quality_classifier": quality_model.op9_quality_classifier,
         "op10_line_dedup": linededup.op10_line_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 

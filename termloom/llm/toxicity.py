@@ -176,6 +176,25 @@ def score_documents(docs: DataFrame, model: NbLinear) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def reject(docs: DataFrame, model: NbLinear, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below threshold, all columns kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # n_features numbers
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        m = shared.value
+        t = m.table_of()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                yield part.filter(pa.array(m.score(part.column(at), t) < threshold))
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> NbLinear:
     return fit(training_rows(docs, labels, "toxic", FOLDS, HELD_OUT, max_train))
 
