@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Operators: DataFrame -> DataFrame functions over batches of rows."""

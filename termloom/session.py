@@ -26,3 +26,17 @@ def build_session(cores: int | None = None, app: str = "termloom") -> SparkSessi
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df by way of a reliable checkpoint in the shared folder (spark.checkpoint.dir); a temporary one only if unset."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            import tempfile
+
+            root = "file://" + tempfile.mkdtemp(prefix="termloom-shared-")
+        sc.setCheckpointDir(root)
+    return df.checkpoint()
