@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -52,7 +53,11 @@ def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there and survives lost executors."""
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    # what led here is not needed again: let the driver drop its shuffle files now, not when it next collects garbage
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -36,7 +36,7 @@ PERCENT = 80
 BLOCK = 1024
 HOT_ROWS = 1 << 17
 SLICE = 512
-MIN_BITS, MAX_BITS = 256, 4096
+MIN_BITS, MAX_BITS = 256, 65_536
 
 
 def need(n: np.ndarray) -> np.ndarray:
@@ -77,8 +77,8 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def bits_for(n: np.ndarray) -> np.ndarray:
-    """Bitmap width of a set: the power of two from n on, within limits."""
-    return np.clip(2 ** np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), MIN_BITS, MAX_BITS)
+    """Bitmap width of a set: the power of two from 2 * n on, within limits."""
+    return np.clip(2 ** np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), MIN_BITS, MAX_BITS)
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -164,10 +164,14 @@ def _verify(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
-def verified(pairs: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links among pairs (a, b): bitmap bounds first, then both whole sets."""
+def near_pairs(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that size and bit counts allow."""
     side = lambda x: signs.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"m{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "ma", "nb", "mb").mapInArrow(_filter_pairs, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "ma", "nb", "mb").mapInArrow(_filter_pairs, "a long, b long")
+
+
+def verified(near: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links among pairs (a, b), by both whole sets."""
     near = materialise(docs.sparkSession, near, "near-pairs")
     text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
     return near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long").distinct()
@@ -259,9 +263,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     tiles = each.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top")).filter("pivot <> top").drop("top")
     keys = materialise(spark, each.join(tiles, "key").select("key", "doc", "pivot"), "tile-keys")
     stars = keys.filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    first = materialise(spark, verified(stars, signs, docs), "links")
+    first = materialise(spark, verified(near_pairs(stars, signs), docs), "links")
     comps = components(first, "a", "b")
-    second = verified(residual_pairs(keys, signs, comps), signs, docs)
+    second = verified(residual_pairs(keys, signs, comps), docs)
     # a row's set class may stand for another doc_id (equal sets), and a doc_id may have several sets
     members = live.join(same, ["k1", "k2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = first.unionByName(second).unionByName(members.filter("a <> b"))
