@@ -198,8 +198,9 @@ def _tile_pairs(batches: Iterator) -> Iterator:
                     if not len(p) or not len(q):
                         continue
                     mp, mq = folded([maps[i] for i in p], w), folded([maps[i] for i in q], w)
-                    for k in range(0, len(p), 64):
-                        ok = may_link(n[p[k : k + 64], None], mp[k : k + 64, None], n[None, q], mq[None]) & (comp[p[k : k + 64], None] != comp[None, q])
+                    step = max(1, (1 << 22) // (len(q) * int(w) // 64))  # 32 MB of words at once
+                    for k in range(0, len(p), step):
+                        ok = may_link(n[p[k : k + step], None], mp[k : k + step, None], n[None, q], mq[None]) & (comp[p[k : k + step], None] != comp[None, q])
                         i, j = np.nonzero(ok)
                         out_a.append(doc[p[k + i]])
                         out_b.append(doc[q[j]])
