@@ -46,7 +46,7 @@ def release(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 def csv(spark: SparkSession, path: str, required: list[str] | None = None, sep: str = ",") -> DataFrame:
     """All-string rows of a headed CSV, a byte-order mark dropped from the header; an error if a column is missing."""
     df = spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"')
-    df = df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))
+    df = df.toDF(*(c.lstrip("\ufeff").strip() for c in df.columns))
     missing = [c for c in required or [] if c not in df.columns]
     if missing:
         raise ValueError(f"{path} lacks {missing}; it has {df.columns}")
