@@ -25,7 +25,8 @@ QUERY_BLOCK = 2048
 def postings(docs: DataFrame, ident: str, tokens) -> DataFrame:
     """(ident, token, tf, dl) of every document's tokens."""
     t = docs.select(F.col(ident), tokens.alias("ts")).withColumn("dl", F.size("ts"))
-    return t.select(ident, "dl", F.explode("ts").alias("token")).groupBy(ident, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    # the outer form: a plain explode pushes a filter on its array below the projection and tokenises twice
+    return t.select(ident, "dl", F.explode_outer("ts").alias("token")).filter("token is not null").groupBy(ident, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_scores(queries: DataFrame, index: DataFrame, stats: DataFrame, query: str, doc: str, k1: float = K1, b: float = B) -> DataFrame:
@@ -64,6 +65,9 @@ def tiered(queries: DataFrame, docs: DataFrame, query: str, query_text: str, doc
     q_tokens = T.analysed_tokens(F.col(query_text))
     words = queries.select(query, F.explode(F.array_distinct(q_tokens)).alias("token"))
     base = bm25_scores(words, postings(docs, doc, tokens), index_stats(docs, tokens), query, doc).withColumn("score", F.col("score") * BOOST["all_terms"])
+    # tokens become a column first: inside a lambda the expression would be evaluated for every position
+    docs = docs.withColumn("tokens__", tokens)
+    tokens = F.col("tokens__")
     sh = T.shingles(tokens)
     pairs = queries.select(query, F.explode(F.array_distinct(T.shingles(q_tokens))).alias("token"))
     shingle = bm25_scores(pairs, postings(docs, doc, sh), index_stats(docs, sh), query, doc).withColumn("score", F.col("score") * BOOST["shingle"])

@@ -107,8 +107,8 @@ def first_parent_path(spark, d):
     return p.select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), " -> ").alias("path"))
 
 
-@plan(f"""WITH RECURSIVE {_E}, w(node, path, at) AS (SELECT p_partkey, [p_partkey], p_partkey FROM part UNION ALL SELECT w.node, list_append(w.path, e.parent), e.parent FROM w JOIN e ON w.at = e.child WHERE len(w.path) <= 10),
-s AS (SELECT node, at, arg_min(path, (len(path), path)) AS path FROM w GROUP BY 1, 2)
+@plan(f"""WITH RECURSIVE {_E}, w(node, path, spot) AS (SELECT p_partkey, [p_partkey], p_partkey FROM part UNION ALL SELECT w.node, list_append(w.path, e.parent), e.parent FROM w JOIN e ON w.spot = e.child WHERE len(w.path) <= 10),
+s AS (SELECT node, spot, arg_min(path, (len(path), path)) AS path FROM w GROUP BY 1, 2)
 SELECT node, array_to_string(arg_min(path, (-len(path), path)), ' -> ') AS path FROM s GROUP BY node""")
 def deepest_path(spark, d):
     p = g.deepest_path(_nodes(spark, d), _edges(spark, d))
