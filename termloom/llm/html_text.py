@@ -49,11 +49,25 @@ TRAINING = [
     (30, 6, 0, 0.0, 0.0, 0.0, 0, 1, 1), (1, 9, 9, 1.0, 0.0, 0.0, 0, 1, 1), (4, 200, 4, 0.0, 0.0, 0.0, 0, 1, 1),
     (33, 3, 21, 0.1, 1.0, 0.0, 0, 1, 1), (12, 5, 7, 0.0, 0.4, 0.0, 0, 1, 1), (25, 18, 2, 0.0, 0.0, 1.0, 0, 1, 1),
     (2, 3, 2, 1.0, 1.0, 1.0, 0, 0, 0), (4, 2, 3, 0.8, 0.9, 1.0, 0, 0, 0), (3, 6, 5, 1.0, 0.7, 0.6, 0, 0, 0),
-    (0, 3, 2, 0.0, 0.0, 1.0, 0, 0, 0), (2, 4, 1, 1.0, 0.0, 1.0, 0, 0, 0), (1, 5, 2, 1.0, 0.2, 1.0, 0, 0, 0),
-    (30, 4, 0, 0.0, 0.0, 0.0, 0, 0, 0), (0, 7, 0, 0.0, 0.0, 0.0, 0, 0, 0), (5, 3, 2, 0.0, 0.0, 0.0, 0, 0, 0),
+    (0, 3, 2, 0.0, 0.0, 1.0, 0, 0, 1), (2, 4, 1, 1.0, 0.0, 1.0, 0, 0, 1), (1, 5, 2, 1.0, 0.2, 1.0, 0, 0, 1),
+    (30, 4, 0, 0.0, 0.0, 0.0, 0, 0, 1), (0, 7, 0, 0.0, 0.0, 0.0, 0, 0, 1), (5, 3, 2, 0.0, 0.0, 0.0, 0, 0, 1),
     (40, 35, 50, 0.0, 0.0, 0.0, 0, 0, 1), (8, 60, 45, 0.0, 0.05, 0.0, 0, 0, 1), (90, 22, 70, 0.0, 0.0, 0.1, 0, 0, 1),
     (3, 80, 30, 0.5, 0.0, 0.0, 0, 0, 1), (25, 16, 40, 0.0, 0.0, 0.0, 0, 0, 1), (6, 140, 3, 0.0, 0.1, 1.0, 0, 0, 1),
     (20, 25, 30, 0.6, 0.8, 0.7, 0, 0, 0), (15, 40, 18, 0.9, 0.7, 0.9, 0, 0, 0), (70, 18, 3, 0.0, 0.9, 1.0, 0, 0, 0),
+    # outside article and main: furniture of any length goes
+    (60, 150, 0, 0.0, 0.0, 0.0, 1, 0, 0), (0, 180, 200, 0.0, 0.0, 0.0, 1, 0, 0), (140, 320, 130, 0.0, 0.0, 0.0, 1, 0, 0),
+    (45, 110, 40, 0.0, 0.1, 0.0, 1, 0, 0), (90, 240, 5, 0.0, 0.05, 1.0, 1, 0, 0), (3, 400, 90, 0.0, 0.0, 0.0, 1, 0, 0),
+    (2, 130, 60, 1.0, 0.0, 0.0, 1, 0, 0), (120, 101, 26, 0.0, 0.0, 0.0, 1, 0, 0), (0, 35, 30, 0.0, 0.0, 0.0, 1, 0, 0),
+    # and text that no mark calls furniture stays, whatever its length and neighbours: first and last paragraphs,
+    # headings, short ones
+    (80, 25, 0, 0.0, 0.0, 0.0, 0, 0, 1), (60, 90, 4, 0.0, 0.0, 0.0, 0, 0, 1), (50, 40, 8, 0.0, 0.1, 0.0, 0, 0, 1),
+    (1, 45, 60, 1.0, 0.0, 0.0, 0, 0, 1), (1, 8, 50, 1.0, 0.0, 0.0, 0, 0, 1), (2, 70, 10, 1.0, 0.0, 0.0, 0, 0, 1),
+    (40, 3, 30, 0.0, 0.0, 0.0, 0, 0, 1), (40, 20, 12, 0.0, 0.0, 0.0, 0, 0, 1), (12, 9, 15, 0.0, 0.2, 0.0, 0, 0, 1),
+    (40, 30, 2, 0.0, 0.0, 1.0, 0, 0, 1), (60, 9, 3, 0.0, 0.0, 1.0, 0, 0, 1), (0, 6, 90, 0.0, 0.0, 0.0, 0, 0, 1),
+    (30, 14, 25, 0.0, 0.4, 0.0, 0, 0, 1), (2, 22, 3, 1.0, 0.3, 1.0, 0, 0, 1), (0, 120, 0, 0.0, 0.0, 0.0, 0, 0, 1),
+    # its blocks of links are menus
+    (0, 4, 3, 0.0, 1.0, 0.0, 0, 0, 0), (1, 1, 40, 1.0, 1.0, 0.0, 0, 0, 0), (60, 8, 0, 0.0, 0.7, 0.0, 0, 0, 0),
+    (50, 130, 40, 0.0, 0.9, 0.0, 0, 0, 0), (30, 2, 35, 0.0, 1.0, 0.0, 0, 0, 0),
 ]
 
 _TREE = None
