@@ -94,20 +94,13 @@ def assign(scores: DataFrame, doc: str, gold: str, pred: str, score: str, method
 
 
 def embedding_match(scores: DataFrame, doc: str, gold: str, pred: str, similarity: str, threshold: float = 0.9) -> DataFrame:
-    """(doc, gold, pred, similarity): predictions by largest similarity, each offered only its nearest gold."""
-
-    def run(frame):
-        frame = frame.sort_values([pred, gold])
-        g, p = np.unique(frame[gold]), np.unique(frame[pred])
-        m = np.full((len(p), len(g)), -1.0)
-        m[np.searchsorted(p, frame[pred]), np.searchsorted(g, frame[gold])] = frame[similarity]
-        found = assignment.best_gold_only(m, threshold)
-        out = frame.iloc[: len(found)][[doc]].copy()
-        out[gold], out[pred], out[similarity] = [g[j] for _, j in found], [p[i] for i, _ in found], [m[i, j] for i, j in found]
-        return out
-
-    kinds = dict(scores.dtypes)
-    return scores.select(doc, gold, pred, similarity).groupBy(doc).applyInPandas(run, f"{doc} {kinds[doc]}, {gold} {kinds[gold]}, {pred} {kinds[pred]}, {similarity} double")
+    """(doc, gold, pred, similarity): predictions by largest similarity, each offered only its nearest gold; ties go to
+    the smaller gold, then prediction. As a gold goes to the most similar of those it is nearest to, two aggregations
+    do, and a document's pairs need not fit one task."""
+    nearest = F.min_by(F.struct(gold, similarity), F.struct(-F.col(similarity), gold)).alias("n__")
+    offered = scores.groupBy(doc, pred).agg(nearest).select(doc, pred, "n__.*").filter(F.col(similarity) >= threshold)
+    best = F.min_by(F.struct(pred, similarity), F.struct(-F.col(similarity), pred)).alias("b__")
+    return offered.groupBy(doc, gold).agg(best).select(doc, gold, "b__.*")
 
 
 def detail(gold: DataFrame, pred: DataFrame, matched: DataFrame, doc: str, g: str, p: str) -> DataFrame:
