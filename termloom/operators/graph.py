@@ -6,6 +6,7 @@ the pairs of a level are checkpointed, so a round never reads its whole past.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import DataFrame, Window
@@ -26,17 +27,24 @@ def edges_of(relations: DataFrame, type_id: int, inferred: int | None = None) ->
     return r.select(F.col("sourceId").alias("child"), F.col("destinationId").alias("parent")).distinct()
 
 
-def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(node, ancestor, dist): every ancestor with its smallest distance, the node itself left out."""
+#: Levels after which the pairs known so far are cut from their past as well.
+CUT_EVERY = 16
+
+
+def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, ancestor, dist): every ancestor with its smallest distance, the node itself left out; only those up to
+    max_depth if given."""
     edges = cut_lineage(edges.select("child", "parent").filter("child <> parent").distinct())
     frontier = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"))
     known = frontier.withColumn("dist", F.lit(1))
-    for d in range(2, max_depth + 1):
+    for d in itertools.count(2) if max_depth is None else range(2, max_depth + 1):
         step = frontier.join(edges, frontier.ancestor == edges.child).select("node", F.col("parent").alias("ancestor")).filter("node <> ancestor").distinct()
         frontier = cut_lineage(step.join(known, ["node", "ancestor"], "left_anti"))
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier.withColumn("dist", F.lit(d)))
+        if d % CUT_EVERY == 0:
+            known = cut_lineage(known)
     return known
 
 
