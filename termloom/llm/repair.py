@@ -4,14 +4,15 @@ File format. A table of Parquet files in the shared folder, one row per shard of
   part int, shard int     order of the shards: by part, then by shard
   doc_id array<long>      the shard's documents in ascending order
   n_tokens array<int>     ids of each document, end id included
-  rules binary            little-endian unsigned 32-bit pairs (left, right); rule r is symbol BASE + r
-  lengths binary          expansion length of each rule, unsigned 32-bit
+  rules binary            little-endian unsigned 32-bit pairs (left, right), zlib level 1; rule r is symbol BASE + r
+  lengths binary          expansion length of each rule, unsigned 32-bit, zlib level 1
   body binary             the sequence of symbols left, unsigned 32-bit, zlib level 1
 A document's ids are found from n_tokens and the lengths without decoding the documents before it: see decode_slice.
 
 Re-Pair repeatedly replaces the most frequent pairs of adjacent symbols by new symbols. A round here takes every pair
-that occurs at least MIN_COUNT times, at most PAIRS_PER_ROUND of them, from left to right without overlap, so that a
-round is a few passes over an array; it ends after MAX_ROUNDS or when a round saves under one symbol in a hundred.
+that occurs at least so many times, from left to right without overlap, so that a round is a few passes over an array.
+Rounds go on until no such pair is left, for each of LEVELS in turn; the last level is the fewest times for which a rule,
+three numbers of 32 bits, is not larger than what it saves.
 
 Null and empty texts hold the end id alone. Rows that repeat a doc_id stay apart, in the order of their text hash. A
 null doc_id comes first. Texts of any length are held whole in one shard. Empty tables give empty results; other
@@ -31,34 +32,37 @@ from .common import shared_path, ship, table, tokenizer_path
 
 BASE = 1 << 16
 SHARD_TOKENS = 1 << 20
-MIN_COUNT = 64
-PAIRS_PER_ROUND = 4096
-MAX_ROUNDS = 6
+LEVELS = (64, 16, 8, 4)
 SHARD_SCHEMA = "part int, shard int, doc_id array<long>, n_tokens array<int>, rules binary, lengths binary, body binary"
 DECODED = "part int, shard int, place int, doc_id long, n_tokens long, ids_crc32 long"
 
 
-def compress(ids, min_count: int = MIN_COUNT, pairs_per_round: int = PAIRS_PER_ROUND, max_rounds: int = MAX_ROUNDS):
+def compress(ids, levels: tuple[int, ...] = LEVELS):
     """(rules, lengths, sequence) of an array of ids below BASE."""
     import numpy as np
 
     seq = np.asarray(ids, dtype=np.int64)
     rules, lengths = np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64)
-    for _ in range(max_rounds):
-        if len(seq) < 2 * min_count:
-            break
+    left, apart = list(levels), False
+    while left:
+        min_count = left[0]
         pair = (seq[:-1] << 32) | seq[1:]
         # a cheap hashed count first: only pairs whose cell is frequent are counted exactly
         cell = (seq[:-1] * 40503 + seq[1:]) & 0xFFFFF
         often = np.bincount(cell, minlength=1 << 20)[cell] >= min_count
         values, counts = np.unique(pair[often], return_counts=True)
-        take = counts >= min_count
-        values, counts = values[take], counts[take]
-        if len(values) > pairs_per_round:
-            top = np.sort(np.argsort(-counts, kind="stable")[:pairs_per_round])
-            values, counts = values[top], counts[top]
-        if not len(values) or counts.sum() * 100 < len(seq):
-            break
+        values, counts = values[counts >= min_count], counts[counts >= min_count]
+        if apart:  # pairs took each other's symbols: only pairs without a common symbol now, the most
+            # frequent first and pairs of equal symbols, whose count holds overlaps, last
+            taken, chosen = set(), []
+            for v in values[np.lexsort((-counts, values >> 32 == values & 0xFFFFFFFF))].tolist():
+                if not taken & (own := {v >> 32, v & 0xFFFFFFFF}):
+                    taken |= own
+                    chosen.append(v)
+            values = np.sort(np.array(chosen, dtype=np.int64))
+        if not len(values):
+            left, apart = left[1:], False
+            continue
         at = np.flatnonzero(often)
         k = np.searchsorted(values, pair[at])
         hit = (k < len(values)) & (values[np.minimum(k, len(values) - 1)] == pair[at])
@@ -67,6 +71,13 @@ def compress(ids, min_count: int = MIN_COUNT, pairs_per_round: int = PAIRS_PER_R
         start = np.flatnonzero(np.r_[True, np.diff(at) != 1])
         nth = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)]))
         at, k = at[nth % 2 == 0], k[nth % 2 == 0]
+        # pairs that others leave too few of wait for a later round
+        many = np.bincount(k, minlength=len(values)) >= min_count
+        at, k = at[many[k]], k[many[k]]
+        if not len(at):
+            left, apart = left[apart:], not apart
+            continue
+        apart = False
         used, k = np.unique(k, return_inverse=True)
         pairs = np.stack([values[used] >> 32, values[used] & 0xFFFFFFFF], axis=1)
         size = lambda s: np.where(s < BASE, 1, lengths[np.maximum(s - BASE, 0)] if len(lengths) else 1)  # noqa: B023, E731
@@ -142,7 +153,7 @@ def _pack_shards(tokenizer: str, shard_tokens: int):
 
         def row():
             rules, lengths, seq = compress(np.frombuffer(b"".join(parts), dtype="<u4"))
-            cols = [[part], [shard], [docs], [sizes], [rules.tobytes()], [lengths.tobytes()], [zlib.compress(seq.tobytes(), 1)]]
+            cols = [[part], [shard], [docs], [sizes], *([zlib.compress(x.tobytes(), 1)] for x in (rules, lengths, seq))]
             types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["part", "shard", "doc_id", "n_tokens", "rules", "lengths", "body"])
 
@@ -178,7 +189,8 @@ def _unpack(batches: Iterator) -> Iterator:
     for batch in batches:
         for i in range(batch.num_rows):
             part, shard, doc, size, rules, lengths, body = (batch.column(k)[i].as_py() for k in range(7))
-            ids = expand(np.frombuffer(rules, "<u4").reshape(-1, 2), np.frombuffer(lengths, "<u4"), np.frombuffer(zlib.decompress(body), "<u4")).tobytes()
+            rules, lengths, body = (np.frombuffer(zlib.decompress(x), "<u4") for x in (rules, lengths, body))
+            ids = expand(rules.reshape(-1, 2), lengths, body).tobytes()
             ends = np.cumsum(np.asarray(size, dtype=np.int64)) * 4
             view = memoryview(ids)
             crc = [zlib.crc32(view[e - 4 * n : e]) for e, n in zip(ends.tolist(), size, strict=True)]
