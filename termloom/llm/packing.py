@@ -1,9 +1,10 @@
 """Best-fit packing by the sum-of-squares rule.
 
 Each document (its ids and the end id) is cut only if longer than the capacity; the first piece takes the remainder,
-so at most one piece of a document is shorter than a whole sequence. Pieces are placed one by one where the sum of
-squared counts of open bins per residual gap becomes smallest. Documents are dealt to shards by a hash of their id;
-the number of shards follows the table, so a shard holds a bounded number of pieces and is packed alone in one task.
+so at most one piece of a document is shorter than a whole sequence. Whole sequences need no place and never move.
+Shorter pieces are placed one by one where the sum of squared counts of open bins per residual gap becomes smallest.
+They are dealt to shards by a hash of their row, not of their id, and the number of shards follows their count, so a
+shard holds about PIECES_PER_SHARD pieces whatever the ids are, and is packed alone in one task.
 
 Null and empty texts are packed as one piece with the end id. Rows that repeat a doc_id are packed each by itself.
 An empty table gives an empty result. Other columns of the input are ignored.
@@ -16,23 +17,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import END_ID, encoder
-from .common import ship, table, tokenizer_path
+from .bpe import encoder, slices
+from .common import materialise, ship, table, tokenizer_path
 
 CAPACITY = 1024
-DOCS_PER_SHARD = 131_072
+PIECES_PER_SHARD = 131_072
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-def cut(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document of n tokens: the remainder first, then whole sequences."""
-    if n <= capacity:
-        return [(0, n)]
-    first = n % capacity or capacity
-    return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
-
-
 def place(sizes, capacity: int):
     """Bin and offset of each size, in the given order, by the sum-of-squares rule; ties go to the smallest gap.
 
@@ -69,48 +62,56 @@ def place(sizes, capacity: int):
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece, encoded in Arrow batches."""
+    """One row per piece, encoded in Arrow batches; row numbers the pieces, in no order."""
 
     def encode(batches: Iterator) -> Iterator:
-        import struct
         import zlib
 
+        import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        end = struct.pack("<I", END_ID)
-        enc = encoder(tokenizer)
+        enc, row = encoder(tokenizer), TaskContext.get().partitionId() << 36
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                ids = part.column(0).to_pylist()
-                for doc, raw in zip(ids, enc.encode(part.column(1).to_pylist()), strict=True):
-                    raw += end
-                    for k, (s, n) in enumerate(cut(len(raw) // 4, capacity)):
-                        for col, v in zip(out, (doc, k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])), strict=True):
-                            col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for lo, n in slices(batch.column(1)):
+                ids, ends = enc.encode_with_end(batch.column(1).slice(lo, n))
+                size = np.diff(ends)
+                per = np.maximum(1, -(-size // capacity))
+                doc = np.repeat(np.arange(n), per)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+                first = (size - 1) % capacity + 1  # the remainder comes first
+                start = np.where(piece == 0, 0, first[doc] + (piece - 1) * capacity)
+                length = np.where(piece == 0, first[doc], capacity)
+                view = memoryview(ids).cast("B")
+                at = 4 * (ends[doc] + start)
+                crc = [zlib.crc32(view[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                cols = [batch.column(0).slice(lo, n).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(row + np.arange(len(doc)))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
+                row += len(doc)
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(encode, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(encode, PIECES + ", row long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
-    """Pieces with their sequence and offset."""
-    shards = max(1, -(-docs.count() // docs_per_shard))
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, pieces_per_shard: int = PIECES_PER_SHARD) -> DataFrame:
+    """Pieces with their sequence and offset. Whole sequences are numbered where they are read, below 0; only shorter
+    pieces are dealt to shards and placed."""
+    cut = materialise(docs.sparkSession, pieces(docs, tokenizer, capacity), "pieces")
+    whole = cut.filter(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = cut.filter(F.col("length") < capacity)
+    shards = max(1, -(-rest.count() // pieces_per_shard))
 
     def fill(key, frame):
         import numpy as np
 
-        frame = frame.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        size = frame["length"].to_numpy()
-        bins, offsets = place(size, capacity)
+        frame = frame.sort_values(["length", "doc_id", "row"], ascending=[False, True, True], kind="stable")
+        bins, offsets = place(frame["length"].to_numpy(), capacity)
         frame["sequence_id"] = np.int64(key[0]) * np.int64(1 << 36) + bins
         frame["offset"] = offsets
         return frame[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(shards)).alias("shard")
-    return pieces(docs, tokenizer, capacity).select("*", shard).groupBy("shard").applyInPandas(fill, PACKED)
+    placed = rest.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).groupBy("shard").applyInPandas(fill, PACKED)
+    return whole.unionByName(placed)
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Edit-aware token counts: a segment tree of pre-token counts per document.
 
-The text is cut into segments at places where the vocabulary's pre-token pattern always ends one pre-token (before
-white space that follows a non-space, before a comma or full stop that follows a letter or digit). Two trees over the
+The text is cut into segments at places where the vocabulary's pre-token pattern always ends one pre-token (before a
+blank or line feed that follows a non-space, before a comma or full stop that follows a letter or digit). Two trees over the
 segments hold sums of tokens and of code points. An edit is found by code point, and only the segments from the one
 that holds the character before it to the one that holds the character after it are encoded again: both outer ends are
 untouched text, so all other counts stand. The new region takes the slot of its first segment, the other slots fall to
@@ -14,28 +14,29 @@ itself; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder, odd
+from .bpe import cuts, encoder
 from .common import ship, table, tokenizer_path
 
-_WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-CUT = re.compile(f"(?<=[^{_WS}])(?=[{_WS}])|(?<=[0-9A-Za-zÀ-ÖØ-öø-ʯ])(?=[.,])")
 COUNTS = "doc_id long, n_chars long, n_segments long, n_tokens long, n_edits long, n_chars_after long, n_tokens_after long, n_chars_encoded_again long"
 
 
 def segments(text: str) -> list[str]:
+    """The parts of text between the places where it may be cut."""
     if not text:
         return []
-    if odd(text):
-        at = [0, *(m.start() for m in CUT.finditer(text)), len(text)]
-        return [text[a:b] for a, b in zip(at, at[1:], strict=False)]
-    return text.replace(" ", "\x01 ").replace("\n", "\x01\n").replace(",", "\x01,").replace(".", "\x01.").removeprefix("\x01").split("\x01")
+    data = text.encode()
+    raw = np.frombuffer(data, dtype=np.uint8)
+    at = cuts(raw)
+    if b"\x01" in data:
+        ends = [0, *at.tolist(), len(data)]
+        return [data[a:b].decode() for a, b in zip(ends, ends[1:], strict=False)]
+    return np.insert(raw, at, 1).tobytes().decode().split("\x01")
 
 
 class TokenTree:

@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 
 def texts() -> list:
     near = " ".join(["other", *BODY.split()[1:]])
-    out = [None, "", " \n\t ", "one two", "one two", "ONE two", BODY, BODY, near, BODY.upper(), "x " * 5000, "Ünï ß 日本 🎉\x0b\x0c a b", "<|endoftext|> text"]
+    out = [None, "", " \n\t ", "one two", "one two", "ONE two", BODY, BODY, near, BODY.upper(), "x " * 5000, "Ünï ß 日本 🎉\x0b\x0c a b", "x <|endoftext|> y", "<|endoftext|>"]
     out += [f"{LINE}\nown line number {i} of this text\n  {LINE.upper()}\t" for i in range(6)]
     out += [" ".join(f"d{i}w{j}" for j in range(40)) for i in range(30)]
     out += ["spam spam spam spam spam spam spam spam spam spam spam spam", "# $ % & | < > *", "a\n\n\nb\r\nc"]
@@ -77,7 +77,6 @@ def test_empty_tables_give_empty_results(spark, empty, name):
 
 def encoded(text):
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     return [*tok.encode(text or "", add_special_tokens=False).ids, 2]
 
 

@@ -34,3 +34,11 @@ def test_memoised_encoding_equals_the_library():
         enc = ChunkEncoder(tokenizer_path(), max_entries=room)
         for _ in range(2):
             assert enc.encode(texts) == [enc.raw([t or ""])[0] for t in texts]
+
+
+def test_random_texts_equal_the_library():
+    parts = ["the ", "a", " ", "\n", ",", ".", "Ü", "ß", "×", "÷", " ", "12", "'s", "'ll", "  ", "\t", "日本", "!!", ")", "\x85", "\x1c", "é", "\u3000", "<|endoftext|>", "٣", "🎉", "ʰ", "\u0300"]
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 30))) for _ in range(5000)]
+    enc = ChunkEncoder(tokenizer_path())
+    assert enc.encode(texts) == enc.raw(texts)
