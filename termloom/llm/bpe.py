@@ -18,7 +18,7 @@ from .hashing import buffer_of
 
 END_ID = 2
 #: Bytes of text that are cut and looked up at once.
-AT_ONCE = 1 << 24
+AT_ONCE = 1 << 23
 
 # Classes of bytes: 1 a blank or line feed, 2 a comma or full stop, 4 an ASCII character that is no white space,
 # 8 an ASCII letter or digit, 16 the second byte of a character, 32 the first byte of U+00C0 to U+02BF (no white space).
@@ -68,7 +68,7 @@ class ChunkEncoder:
     pieces of at most max_bytes: a full one becomes the old one, whose pieces live on when they are met again. Longer
     pieces stay only for their batch, so memory is bounded."""
 
-    def __init__(self, path: str, max_entries: int = 450_000, max_bytes: int = 32):
+    def __init__(self, path: str, max_entries: int = 400_000, max_bytes: int = 32):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -115,14 +115,17 @@ class ChunkEncoder:
     def look_up(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of distinct pieces."""
         out = list(map(self.young.get, pieces))
-        known, new = [], []
-        for i in [i for i, x in enumerate(out) if x is None]:
-            ids = self.old.get(pieces[i])
-            (new if ids is None else known).append(i)
-            out[i] = ids
-        for i, ids in zip(new, self._learn([pieces[i] for i in new]), strict=True):
-            out[i] = ids
-        self.young.update((pieces[i], out[i]) for i in (*known, *new) if len(pieces[i]) <= self.max_bytes)
+        rest = [i for i, x in enumerate(out) if x is None]
+        some = [pieces[i] for i in rest]
+        ids = list(map(self.old.get, some))
+        new = [j for j, x in enumerate(ids) if x is None]
+        for j, x in zip(new, self._learn([some[j] for j in new]), strict=True):
+            ids[j] = x
+        for i, x in zip(rest, ids, strict=True):
+            out[i] = x
+        self.young.update(zip(some, ids, strict=True))
+        for p in [p for p in some if len(p) > self.max_bytes]:
+            del self.young[p]
         if len(self.young) > self.max_entries:
             self.old, self.young = self.young, {}
         return out
@@ -158,10 +161,10 @@ class ChunkEncoder:
         raw, off = buffer_of(texts)
         if not len(raw):
             return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
-        begin = np.zeros(len(raw) + 1, dtype=bool)
-        begin[cuts(raw)] = True
-        begin[off] = True  # texts touch in the buffer
-        begin = np.flatnonzero(begin)
+        mark = np.zeros(len(raw) + 1, dtype=bool)
+        mark[cuts(raw)] = True
+        mark[off] = True  # texts touch in the buffer
+        begin = np.flatnonzero(mark)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin), pa.py_buffer(raw)]).dictionary_encode()
         known = pa.array(self.look_up(pieces.dictionary.to_pylist()), pa.large_binary())
         got = known.take(pieces.indices)

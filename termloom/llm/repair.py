@@ -17,7 +17,7 @@ stretch of symbols is read without the rest. A document's ids are found from n_t
 Re-Pair repeatedly replaces the most frequent pairs of adjacent symbols by new symbols. A round here takes all pairs
 that occur at least so many times; where two overlap the more frequent pair wins. Rounds go on until no such pair is
 left, for each of LEVELS in turn; within a level, rounds after the first count only pairs that hold a symbol of the last
-round, as the others were counted before. At the last level a rule no longer pays: its two symbols and its length
+round, as the others were counted before, and at the end those that lost places to others. At the last level a rule no longer pays: its two symbols and its length
 against one symbol saved an occurrence.
 
 Ids must be below BASE; others raise ValueError. Null and empty texts hold the end id alone. Rows that repeat a doc_id
@@ -39,7 +39,7 @@ from .common import shared_path, ship, table, tokenizer_path
 
 BASE = 1 << 16
 SHARD_TOKENS = 1 << 20
-LEVELS = (64, 4)
+LEVELS = (4,)
 BLOCK = 1024
 COLUMNS = ["part", "shard", "doc_id", "n_tokens", "width", "n_rules", "rules", "lengths", "n_symbols", "body", "marks"]
 SHARD_SCHEMA = "part int, shard int, doc_id array<long>, n_tokens array<int>, width int, n_rules int, rules binary, lengths binary, n_symbols int, body binary, marks binary"
@@ -115,23 +115,33 @@ def _winners(n: int, place: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _choose(seq: np.ndarray, at: np.ndarray | None, least: int):
-    """(pairs, places, number of the pair at each place) of a round: no two places overlap, every pair has at least
-    `least` of them. The most frequent pair always takes all its places, so a round without any is the last."""
-    none = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """(pairs, places, number of the pair at each place, pairs that wait) of a round: no two places overlap, every pair
+    has at least `least` of them. Pairs wait that lost so many places to others that they may still repeat as often.
+    The most frequent pair always takes all its places, so rounds come to an end."""
+    none, no_pairs = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
     if (len(seq) - 1 if at is None else len(at)) < least:
-        return none
+        return no_pairs, none, none, no_pairs
     left, right, count, place, k = _frequent(seq, at, least)
     if not len(place):
-        return none
+        return no_pairs, none, none, no_pairs
     # equal counts fall to the larger mixed number, so that neighbours of one count do not win left to right
     order = np.lexsort(((np.arange(len(left)) * 0x9E3779B1) & 0xFFFFFFFF, count))
     rank = np.zeros(len(left), np.int32)
     rank[order] = np.arange(1, len(left) + 1)
     at, won = _winners(len(seq), place, rank[k])
     k = order[won - 1]
-    many = np.bincount(k, minlength=len(left)) >= least  # the others wait for a later round
+    taken = np.bincount(k, minlength=len(left))
+    many = taken >= least
     at, k = at[many[k]], k[many[k]]
-    return np.stack([left[many], right[many]], axis=1), at, (np.cumsum(many) - 1)[k]
+    pairs = np.stack([left, right], axis=1)
+    return pairs[many], at, (np.cumsum(many) - 1)[k], pairs[count - np.where(many, taken, 0) >= least]
+
+
+def _places_of(seq: np.ndarray, pairs: np.ndarray, n_symbols: int) -> np.ndarray:
+    """Places that may begin one of the pairs."""
+    left, right = np.zeros(n_symbols, dtype=bool), np.zeros(n_symbols, dtype=bool)
+    left[pairs[:, 0]], right[pairs[:, 1]] = True, True
+    return np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
 
 
 def compress(ids, levels: tuple[int, ...] = LEVELS):
@@ -142,25 +152,26 @@ def compress(ids, levels: tuple[int, ...] = LEVELS):
     seq = ids.astype(np.int32)
     size, rules = np.ones(BASE, dtype=np.int64), [np.zeros((0, 2), np.int64)]
     for least in levels:
-        fresh = 0  # symbols from here on are of the last round; 0: count all pairs
+        at, wait = None, []
         while len(seq) > 1:
-            at = None
-            if fresh:
+            pairs, at, k, later = _choose(seq, at, least)
+            wait.append(later)
+            if len(pairs):
+                fresh = len(size)
+                rules.append(pairs)
+                size = np.r_[size, size[pairs[:, 0]] + size[pairs[:, 1]]]
+                seq[at] = fresh + k
+                keep = np.ones(len(seq), dtype=bool)
+                keep[at + 1] = False
+                seq = seq[keep]
+                # only pairs with a symbol of this round are new; the others cannot have grown
                 new = seq >= fresh
                 at = np.flatnonzero(new[:-1] | new[1:])
-            pairs, at, k = _choose(seq, at, least)
-            if not len(pairs):
-                if not fresh or least != levels[-1]:
-                    break
-                fresh = 0  # pairs that lost places to others may still repeat: count all once more
                 continue
-            fresh = len(size)
-            rules.append(pairs)
-            size = np.r_[size, size[pairs[:, 0]] + size[pairs[:, 1]]]
-            seq[at] = fresh + k
-            keep = np.ones(len(seq), dtype=bool)
-            keep[at + 1] = False
-            seq = seq[keep]
+            waiting = np.concatenate(wait)
+            if not len(waiting) or least != levels[-1]:  # the next level counts all pairs anyway
+                break
+            at, wait = _places_of(seq, waiting, len(size)), []
     return np.concatenate(rules).astype("<u4"), size[BASE:].astype("<u4"), seq.astype("<u4")
 
 
