@@ -1,19 +1,23 @@
 """Line dedup over hashes of normalised lines; texts are never shuffled to find what repeats.
 
 A line's key is the line with blanks, tabs and line ends stripped at both ends and A-Z lower-cased. Hashes of keys of
-at least 20 code points are range-partitioned by hash and document and sorted by document and position, so a key that
-fills a third of the table spreads over many ranges; the first occurrence in each document streams off, and
-documents and their largest id are counted per key with map-side sums. Documents get sparse bitmaps (64 lines a word)
-of the lines that go; the complement is what stays.
+at least 20 code points are range-partitioned by hash and sorted by document and position within. The sorted ranges are
+streamed once: a row whose document differs from the row's before is the key's first occurrence in that document, so
+their number is the documents of the key, the last document is the largest, and the rows that go are named by the same
+stream. Keys that fill much of the table, at most HOT_KEYS of them, told by a mergeable frequent-items sketch, are dealt
+to HOT_PARTS ranges each by document; their partial counts, HOT_KEYS x HOT_PARTS rows, are added up and broadcast back.
+The sketch only balances the work: counts are exact whatever it says. Documents get sparse bitmaps (64 lines a word) of
+the lines that go; the complement is what stays.
 
 Null and empty texts are one empty line. A null doc_id counts as one document that is smaller than any other. Rows
 that repeat a doc_id count as one document for the limit, and each row gets its own bitmap. Ties cannot arise: the
-largest doc_id is unique. An empty table gives an empty result; other columns of the input pass through untouched.
+largest doc_id is unique. An empty table gives an empty result; other columns of the input pass through untouched,
+unless their names begin with line_ and end in __.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLANKS, LOWER, UPPER, materialise, table
@@ -21,6 +25,7 @@ from .common import BLANKS, LOWER, UPPER, materialise, table
 MIN_POINTS = 20
 MIN_DOCS = 3
 NO_ID = -(2**63)
+HOT_KEYS, HOT_PARTS = 1000, 256
 
 
 def _lines(text: Column) -> Column:
@@ -38,22 +43,37 @@ def line_hashes(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
     )
 
 
-def keepers(hashes: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(h1, h2, keeper): keys that at least min_docs documents hold, with the largest document."""
-    firsts = (
-        hashes.repartitionByRange("h1", "h2", "k")
-        .sortWithinPartitions("h1", "h2", "k", "pos")
-        .groupBy("h1", "h2", "k")
-        .agg(F.min("pos").alias("first_pos"))
-    )
-    return firsts.groupBy("h1", "h2").agg(F.count("first_pos").alias("n"), F.max("k").alias("keeper")).filter(F.col("n") >= min_docs).drop("n")
+def hot_keys(hashes: DataFrame, keys: int = HOT_KEYS) -> list[int]:
+    """First hashes of the keys that hold a HOT_KEYS-th of all rows or more, by a sketch: at most `keys` numbers."""
+    n, top = hashes.agg(F.count(F.lit(1)), F.expr(f"approx_top_k(h1, {keys}, {10 * keys})")).first()
+    return [x["item"] for x in top or [] if x["count"] * keys >= n]
+
+
+def gone_lines(hashes: DataFrame, min_docs: int = MIN_DOCS, hot: list[int] | None = None, parts: int = HOT_PARTS) -> DataFrame:
+    """(k, th, pos) of every line whose key at least min_docs documents hold, but in the largest of them."""
+    hot = hot_keys(hashes) if hot is None else hot
+    by = ["h1", "h2", "part"] if hot else ["h1", "h2"]
+    dealt = hashes.withColumn("part", F.when(F.col("h1").isin(hot), F.pmod(F.xxhash64("k"), F.lit(parts))).otherwise(F.lit(-1))) if hot else hashes
+    order = ["k", "th", "pos"]
+    dealt = dealt.repartitionByRange(*by).sortWithinPartitions(*by, *order)
+    # the windows follow the ranges and their order: neither another shuffle nor another sort
+    in_order = Window.partitionBy(*by).orderBy(*order)
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.lag("k").over(in_order)
+    seen = dealt.withColumn("first", (before.isNull() | (before != F.col("k"))).cast("int"))
+    seen = seen.withColumns({"n": F.sum("first").over(whole), "keeper": F.last("k").over(whole)})
+    n, keeper = F.col("n"), F.col("keeper")
+    if hot:  # at most HOT_KEYS rows: the sums of the parts of a split key
+        total = seen.filter("part >= 0 and first = 1").groupBy("h1", "h2").agg(F.count("first").alias("all_n"), F.max("k").alias("all_keeper"))
+        seen = seen.join(F.broadcast(total), ["h1", "h2"], "left")
+        n, keeper = F.coalesce("all_n", n), F.coalesce("all_keeper", keeper)
+    return seen.filter((n >= min_docs) & (F.col("k") != keeper)).select(*order)
 
 
 def drop_bitmaps(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(k, th, bits, n_dropped) of documents that lose lines; bits maps line div 64 to the lines that go."""
     hashes = materialise(docs.sparkSession, line_hashes(docs, min_points), "line-hashes")
-    gone = hashes.join(keepers(hashes, min_docs), ["h1", "h2"]).filter(F.col("k") != F.col("keeper"))
-    words = gone.groupBy("k", "th", F.expr("pos div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bit"))
+    words = gone_lines(hashes, min_docs).groupBy("k", "th", F.expr("pos div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bit"))
     return words.groupBy("k", "th").agg(F.map_from_entries(F.collect_list(F.struct("word", "bit"))).alias("bits"), F.sum(F.bit_count("bit")).alias("n_dropped"))
 
 

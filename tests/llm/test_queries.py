@@ -149,6 +149,16 @@ def test_scores_rank_held_out_documents(spark, name, label, folds, out):
     assert wins / (len(pos) * len(neg)) > 0.85
 
 
+def test_keys_that_are_split_over_ranges_lose_the_same_lines(spark):
+    rows = [(i if i % 7 else None, "\n".join([LINE, f"a line of its own number {i}", LINE.upper(), f"shared by a few of them {i % 9}"])) for i in range(60)]
+    hashes = linededup.line_hashes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    h1 = sorted({r.h1 for r in hashes.collect()})
+    plain, split = (sorted(map(tuple, linededup.gone_lines(hashes, hot=hot, parts=4).collect())) for hot in ([], h1))
+    assert plain == split and len(plain) > 100
+    hot = linededup.hot_keys(hashes, 5)
+    assert 1 <= len(hot) <= 5 and sorted(map(tuple, linededup.gone_lines(hashes, hot=hot, parts=4).collect())) == plain
+
+
 def test_other_columns_and_null_ids_do_not_matter(spark):
     rows = [(None, LINE, "k", 1), (1, LINE, "k", 2), (1, LINE, "k", 2), (2, LINE, "h1", 3), (3, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string, n long")
