@@ -21,7 +21,8 @@ END_ID = 2
 AT_ONCE = 1 << 23
 
 # Classes of bytes: 1 a blank or line feed, 2 a comma or full stop, 4 an ASCII character that is no white space,
-# 8 an ASCII letter or digit, 16 the second byte of a character, 32 the first byte of U+00C0 to U+02BF (no white space).
+# 8 an ASCII letter or digit, 16 the second byte of a character, 32 the first byte of U+00C0 to U+02BF (no white space),
+# 64 the second bytes of the two signs (times, divide) among the letters that begin with C3.
 _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[[32, 10]] |= 1
 _CLASS[[44, 46]] |= 2
@@ -31,24 +32,20 @@ for _c in range(128):
         _CLASS[_c] |= 8
 _CLASS[0x80:0xC0] |= 16
 _CLASS[0xC3:0xCB] |= 32
-#: Second bytes of the two signs (times, divide) among the letters that begin with C3.
 _SIGNS = (0x97, 0xB7)
-
-
+_CLASS[list(_SIGNS)] |= 64
+_TABLE = _CLASS.tobytes()
 _ALNUM = frozenset(np.flatnonzero(_CLASS & 8).tolist())
 _WIDE = frozenset(np.flatnonzero(_CLASS & 32).tolist())
 
 
 def cuts(raw: np.ndarray) -> np.ndarray:
     """Places in the bytes of whole texts before which a text may be cut."""
-    kind = _CLASS[raw]
-    at = np.flatnonzero(kind & 3)
-    at = at[at > 0]
-    before = kind[at - 1]
-    wide = ((before & 16) > 0) & ((kind[np.maximum(at - 2, 0)] & 32) > 0) & (at > 1)
-    space = (kind[at] & 1) > 0
-    letter = wide & ~np.isin(raw[at - 1], _SIGNS)
-    return at[np.where(space, ((before & 4) > 0) | wide, ((before & 8) > 0) | letter)]
+    kind = np.frombuffer(raw.tobytes().translate(_TABLE), np.uint8)
+    wide = np.zeros_like(kind)  # 1 at the second byte of a character that is known to be no white space
+    wide[1:] = (kind[1:] >> 4) & (kind[:-1] >> 5) & 1
+    solid, letter = (kind >> 2) | wide, (kind >> 3) | (wide & ~(kind >> 6))
+    return np.flatnonzero(((kind[1:] & solid[:-1]) | ((kind[1:] >> 1) & letter[:-1])) & 1) + 1
 
 
 def _ends_in_letter(piece: bytes) -> bool:
