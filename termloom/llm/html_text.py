@@ -2,13 +2,20 @@
 
 A page is cut into blocks at block-level tags. Each block has its number of words, its share of words inside links,
 the same two figures of the block before and after it, and two marks of its place: inside an element that names itself
-furniture (nav, footer, aside, form, or a class, id or role such as "ad" or "comments"), and inside article or main.
-A tree grown on the small labelled table below says which blocks are the article. Kept blocks are joined by one \\n.
-
-Null and empty pages give ''. Scripts, styles, heads, comments of the markup and templates never give text; an element
-of that kind that is never closed ends with the page. Unclosed and stray end tags are tolerated: an end tag closes
-the nearest open element of its name and what is open inside it, and one without a partner is ignored. Line breaks
-within a block are white space. Repeated rows are extracted each by itself; other columns are ignored.
+furniture (nav, footer, aside, form, or a class, id or role such as "ad" or "comment-list"), and inside article or main.
+A tree grown on the labelled pages of html_pages says which blocks are the article. Kept blocks are joined by one \\n.
+
+Names are compared as whole words of a class, id or role: "has-sidebar" and "search-algorithms" name no furniture, nor
+do the names of html and body. An article or main inside an element that only its name (or a form) makes furniture is
+no furniture, unless the name is of comments, replies or related pages.
+
+Null and empty pages give ''. Scripts, styles, titles, comments of the markup and templates never give text; of these, a
+script, style, title, text area, frame or comment that is never closed ends with the page, and others are tags like any
+other then. Unclosed and stray end tags are tolerated: an end tag closes the nearest open element of its name and what is
+open inside it, and one without a partner is ignored; a link ends with the block it was opened in. A < that begins no
+closed tag is text. Quotes begin a value only after =. Line breaks within a block are white space. The scanner passes each
+character once, so very long pages take time in proportion. Repeated rows are extracted each by itself; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,124 +28,149 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import ship, table
+from .html_pages import labelled_pages
 from .trees import grow, predict
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|iframe|svg|textarea|select|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-NAMED = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: What follows a tag's name, up to its end.
+REST = re.compile(r"""((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>""")
+NAMED = re.compile(r"""(?<![^\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Elements without text, and those of them that an end of page closes.
+SILENT = set("script style title noscript template iframe svg textarea select object noembed noframes xmp canvas audio video".split())
+TO_THE_END = set("script style title textarea iframe noembed noframes xmp".split())
 BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-FURNITURE_TAGS = set("nav footer aside form button dialog menu search".split())
+FURNITURE_TAGS = set("nav footer aside button dialog menu search".split())
 FURNITURE_NAMES = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login menu menubar modal nav navbar navigation newsletter notice notices pagination popup privacy promo promoted related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets complementary contentinfo alert".split())
+#: Names whose articles are not the page's article.
+OTHERS = set("comment comments disqus footer related promoted reply replies respond sponsored".split())
+#: Last words of compound names whose first word is furniture: comment-list, ad-slot.
+HOLDERS = set("area bar block body box button buttons container content form group holder inner item items links list menu nav outer panel row section slot thread unit wrap wrapper".split())
+#: First words of compound names that say what is not there, or what an element has besides.
+NEGATING = set("has is no not non with without hide hidden show js".split())
 PAGE_HEADER_NAMES = set("header masthead topbar".split())
 MAIN_TAGS = {"article", "main"}
 #: A p, li, dt, dd, tr, td or th that opens ends an open one of these.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-
-#: words before, here, after; link density before, here, after; in furniture; in article or main; 1 if main text
-TRAINING = [
-    (0, 1, 1, 0.0, 1.0, 1.0, 1, 0, 0), (1, 1, 1, 1.0, 1.0, 1.0, 1, 0, 0), (1, 1, 9, 1.0, 1.0, 0.0, 1, 0, 0),
-    (1, 12, 8, 1.0, 0.0, 0.0, 1, 0, 0), (60, 14, 0, 0.0, 0.0, 0.0, 1, 0, 0), (40, 3, 6, 0.0, 0.0, 0.0, 1, 0, 0),
-    (9, 30, 45, 0.0, 0.0, 0.0, 1, 1, 0), (80, 25, 60, 0.0, 0.1, 0.0, 1, 1, 0), (50, 2, 70, 0.0, 0.0, 0.0, 1, 1, 0),
-    (20, 45, 50, 0.0, 0.0, 0.0, 1, 0, 0), (120, 60, 20, 0.0, 0.0, 0.0, 1, 0, 0), (5, 8, 3, 0.2, 0.5, 0.9, 1, 0, 0),
-    (12, 9, 40, 0.0, 0.0, 0.0, 0, 1, 1), (9, 40, 80, 0.0, 0.0, 0.0, 0, 1, 1), (90, 2, 60, 0.0, 0.0, 0.0, 0, 1, 1),
-    (40, 120, 12, 0.0, 0.02, 0.0, 0, 1, 1), (70, 30, 14, 0.0, 0.2, 0.1, 0, 1, 1), (15, 1, 12, 0.0, 0.0, 0.0, 0, 1, 1),
-    (30, 6, 0, 0.0, 0.0, 0.0, 0, 1, 1), (1, 9, 9, 1.0, 0.0, 0.0, 0, 1, 1), (4, 200, 4, 0.0, 0.0, 0.0, 0, 1, 1),
-    (33, 3, 21, 0.1, 1.0, 0.0, 0, 1, 1), (12, 5, 7, 0.0, 0.4, 0.0, 0, 1, 1), (25, 18, 2, 0.0, 0.0, 1.0, 0, 1, 1),
-    (2, 3, 2, 1.0, 1.0, 1.0, 0, 0, 0), (4, 2, 3, 0.8, 0.9, 1.0, 0, 0, 0), (3, 6, 5, 1.0, 0.7, 0.6, 0, 0, 0),
-    (0, 3, 2, 0.0, 0.0, 1.0, 0, 0, 1), (2, 4, 1, 1.0, 0.0, 1.0, 0, 0, 1), (1, 5, 2, 1.0, 0.2, 1.0, 0, 0, 1),
-    (30, 4, 0, 0.0, 0.0, 0.0, 0, 0, 1), (0, 7, 0, 0.0, 0.0, 0.0, 0, 0, 1), (5, 3, 2, 0.0, 0.0, 0.0, 0, 0, 1),
-    (40, 35, 50, 0.0, 0.0, 0.0, 0, 0, 1), (8, 60, 45, 0.0, 0.05, 0.0, 0, 0, 1), (90, 22, 70, 0.0, 0.0, 0.1, 0, 0, 1),
-    (3, 80, 30, 0.5, 0.0, 0.0, 0, 0, 1), (25, 16, 40, 0.0, 0.0, 0.0, 0, 0, 1), (6, 140, 3, 0.0, 0.1, 1.0, 0, 0, 1),
-    (20, 25, 30, 0.6, 0.8, 0.7, 0, 0, 0), (15, 40, 18, 0.9, 0.7, 0.9, 0, 0, 0), (70, 18, 3, 0.0, 0.9, 1.0, 0, 0, 0),
-    # outside article and main: furniture of any length goes
-    (60, 150, 0, 0.0, 0.0, 0.0, 1, 0, 0), (0, 180, 200, 0.0, 0.0, 0.0, 1, 0, 0), (140, 320, 130, 0.0, 0.0, 0.0, 1, 0, 0),
-    (45, 110, 40, 0.0, 0.1, 0.0, 1, 0, 0), (90, 240, 5, 0.0, 0.05, 1.0, 1, 0, 0), (3, 400, 90, 0.0, 0.0, 0.0, 1, 0, 0),
-    (2, 130, 60, 1.0, 0.0, 0.0, 1, 0, 0), (120, 101, 26, 0.0, 0.0, 0.0, 1, 0, 0), (0, 35, 30, 0.0, 0.0, 0.0, 1, 0, 0),
-    # and text that no mark calls furniture stays, whatever its length and neighbours: first and last paragraphs,
-    # headings, short ones
-    (80, 25, 0, 0.0, 0.0, 0.0, 0, 0, 1), (60, 90, 4, 0.0, 0.0, 0.0, 0, 0, 1), (50, 40, 8, 0.0, 0.1, 0.0, 0, 0, 1),
-    (1, 45, 60, 1.0, 0.0, 0.0, 0, 0, 1), (1, 8, 50, 1.0, 0.0, 0.0, 0, 0, 1), (2, 70, 10, 1.0, 0.0, 0.0, 0, 0, 1),
-    (40, 3, 30, 0.0, 0.0, 0.0, 0, 0, 1), (40, 20, 12, 0.0, 0.0, 0.0, 0, 0, 1), (12, 9, 15, 0.0, 0.2, 0.0, 0, 0, 1),
-    (40, 30, 2, 0.0, 0.0, 1.0, 0, 0, 1), (60, 9, 3, 0.0, 0.0, 1.0, 0, 0, 1), (0, 6, 90, 0.0, 0.0, 0.0, 0, 0, 1),
-    (30, 14, 25, 0.0, 0.4, 0.0, 0, 0, 1), (2, 22, 3, 1.0, 0.3, 1.0, 0, 0, 1), (0, 120, 0, 0.0, 0.0, 0.0, 0, 0, 1),
-    # its blocks of links are menus
-    (0, 4, 3, 0.0, 1.0, 0.0, 0, 0, 0), (1, 1, 40, 1.0, 1.0, 0.0, 0, 0, 0), (60, 8, 0, 0.0, 0.7, 0.0, 0, 0, 0),
-    (50, 130, 40, 0.0, 0.9, 0.0, 0, 0, 0), (30, 2, 35, 0.0, 1.0, 0.0, 0, 0, 0),
-]
+#: Kinds of furniture: by a name, or whatever stands inside.
+SOFT, HARD = 1, 2
 
 _TREE = None
 
 
 def tree():
-    """The tree grown on TRAINING, once a process."""
+    """The tree grown on the labelled pages, once a process."""
     global _TREE
     if _TREE is None:
-        rows = np.array(TRAINING, dtype=float)
-        _TREE = grow(rows[:, :-1], rows[:, -1], depth=5, min_leaf=1)
+        pages = labelled_pages()
+        rows, labels = np.concatenate([features(blocks(p)) for p, _ in pages]), np.concatenate([y for _, y in pages])
+        _TREE = grow(rows, labels.astype(float), depth=6, min_leaf=1)
     return _TREE
 
 
+def names_furniture(token: str, names: set[str] = FURNITURE_NAMES) -> bool:
+    """True if a class, id or role is a furniture name, or a compound of one: site-footer, comment-list."""
+    if token in names:
+        return True
+    words = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+    if len(words) < 2 or words[0] in NEGATING:
+        return False
+    return words[-1] in names or (words[0] in names and words[-1] in HOLDERS)
+
+
+def _kind(name: str, rest: str, within: int, main: bool) -> int:
+    """The kind of furniture that an element is, itself or by the element it stands in."""
+    tokens = [t for m in NAMED.finditer(rest) for t in (m[1] or m[2] or m[3] or "").lower().split()]
+    if name in FURNITURE_TAGS or any(names_furniture(t, OTHERS) for t in tokens):
+        return HARD
+    if name in MAIN_TAGS and within < HARD:
+        within = 0
+    if name == "form" or any(map(names_furniture, tokens)):
+        return max(SOFT, within)
+    if not main and (name == "header" or any(names_furniture(t, PAGE_HEADER_NAMES) for t in tokens)):
+        return max(SOFT, within)
+    return within
+
+
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """(text, words, words in links, in furniture, in article or main) of every block with text, in page order."""
     out: list[tuple[str, int, int, bool, bool]] = []
     parts: list[str] = []
     linked: list[str] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, in furniture, in article or main
-    links = 0
+    open_: list[tuple[str, int, bool]] = []  # name, kind of furniture, in article or main
+    link = -1  # open elements where the link began; -1 outside links
+    absent: set[str] = set()  # silent elements without an end tag from here on
 
     def close_block() -> None:
         words = html.unescape("".join(parts)).split()
         if words:
-            _, furniture, main = open_[-1] if open_ else ("", False, False)
-            out.append((" ".join(words), len(words), len(html.unescape(" ".join(linked)).split()), furniture, main))
+            _, kind, main = open_[-1] if open_ else ("", 0, False)
+            out.append((" ".join(words), len(words), len(html.unescape(" ".join(linked)).split()), kind > 0, main))
         parts.clear()
         linked.clear()
 
     def text(a: int, b: int) -> None:
         if a < b:
             parts.append(page[a:b])
-            if links:
+            if link >= 0:
                 linked.append(page[a:b])
 
-    at = 0
-    for m in TAG.finditer(page):
-        text(at, m.start())
-        at = m.end()
-        name = (m[3] or "").lower()
-        if not name:
-            if m[1] and m[1].lower() not in ("script", "style", "svg"):
-                close_block()
+    at = look = 0  # where text begins; where to look for the next tag
+    while (lt := page.find("<", look)) >= 0:
+        sign = page[lt + 1 : lt + 2]
+        ending = sign == "/"
+        m = NAME.match(page, lt + 1 + ending)
+        if not m or not m[0].isascii():
+            if sign not in ("!", "?", "/") or not sign:
+                look = lt + 1
+                continue
+            text(at, lt)
+            mark, skip = ("-->", 4) if page.startswith("<!--", lt) else (">", 1)
+            end = page.find(mark, lt + (2 if page.startswith("<!-->", lt) else skip))
+            at = look = len(page) if end < 0 else end + len(mark)
             continue
+        rest = REST.match(page, m.end())
+        if not rest:  # no later tag ends either
+            break
+        text(at, lt)
+        at = look = rest.end()
+        name = m[0].lower()
         if name == "br":
             parts.append(" ")
             continue
+        if name in SILENT:
+            if ending or name in absent or (rest[1].endswith("/") and name not in TO_THE_END):
+                continue
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if end:
+                at = look = end.end()
+            elif name in TO_THE_END:
+                at = look = len(page)
+            else:
+                absent.add(name)
+            if name not in ("script", "style", "svg"):
+                close_block()
+            continue
         if name in BLOCK:
             close_block()
-        if m[2]:
+        if ending:
             if name == "a":
-                links = max(0, links - 1)
+                link = -1
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == name:
                     del open_[k:]
                     break
-            continue
-        if name == "a":
-            links += 1
-        if name in VOID or m[4].endswith("/") or name not in BLOCK:
-            continue
-        while open_ and open_[-1][0] in ENDS.get(name, ()):
-            open_.pop()
-        furniture, main = open_[-1][1:] if open_ else (False, False)
-        if name == "body":
-            links = 0
-        else:
-            named = {w for x in NAMED.findall(m[4]) for w in re.findall(r"[a-z]+", x.lower())}
-            furniture = furniture or name in FURNITURE_TAGS or bool(named & FURNITURE_NAMES) or (not main and (name == "header" or bool(named & PAGE_HEADER_NAMES)))
-        open_.append((name, furniture, main or name in MAIN_TAGS))
+        elif name == "a":
+            link = len(open_)
+        elif name in BLOCK and name not in VOID and not rest[1].endswith("/"):
+            while open_ and open_[-1][0] in ENDS.get(name, ()):
+                open_.pop()
+            _, kind, main = open_[-1] if open_ else ("", 0, False)
+            if name not in ("html", "body"):
+                kind = _kind(name, rest[1], kind, main)
+            open_.append((name, kind, main or name in MAIN_TAGS))
+        if len(open_) < link:
+            link = -1
     text(at, len(page))
     close_block()
     return out
