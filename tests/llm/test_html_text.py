@@ -46,7 +46,7 @@ def test_the_tree_knows_the_labelled_pages():
 
 
 def test_link_lists_and_their_separators_go_without_any_mark():
-    menu = "".join(f"<div><a href=/{i}>{words('m', 3)}</a></div><div>x</div>" for i in range(4))
+    menu = "<div>x</div>".join(f"<div><a href=/{i}>{words('m', 3)}</a></div>" for i in range(4))
     assert html_text.extract(f"{menu}<p>{words('a', 70)}</p><p>{words('b', 9)}</p><div><a href=/z>{words('z', 6)}</a></div>") == f"{words('a', 70)}\n{words('b', 9)}"
 
 
