@@ -115,6 +115,92 @@ def detail(gold: DataFrame, pred: DataFrame, matched: DataFrame, doc: str, g: st
     return found.unionByName(lost).unionByName(spare)
 
 
+def outcome_counts(outcomes: DataFrame, gold_ids: DataFrame, pred_ids: DataFrame, doc: str, g: str, p: str, decoupled: bool = True, shared: str | None = None) -> DataFrame:
+    """detail()'s rows with counts on three levels: ex_ (a statement found), set_ (its ids all equal) and id_ (single
+    ids), each tp, fp and fn.
+
+    Rows of ignored gold count nowhere, and the prediction that such a row took is spent. Without a partner, a row
+    counts as found or lost statement; on the other two levels only if not decoupled. gold_ids and pred_ids have (doc,
+    g or p, ids as an array); shared names a column of outcomes with the credit of a pair in place of its common ids."""
+    none = F.array().cast(dict(gold_ids.dtypes)["ids"])
+    both = outcomes.join(gold_ids.select(doc, g, F.col("ids").alias("g__")), [doc, g], "left").join(pred_ids.select(doc, p, F.col("ids").alias("p__")), [doc, p], "left")
+    gi, pi = F.array_distinct(F.coalesce("g__", none)), F.array_distinct(F.coalesce("p__", none))
+    hit, lost, spare = F.col("outcome") == "matched", F.col("outcome") == "unmatched_gold", F.col("outcome").isin("unmatched_pred", "unmatched_pred_no_gold")
+    credit = F.size(F.array_intersect(gi, pi)).cast("double") if shared is None else F.coalesce(F.col(shared), F.lit(0.0))
+    equal = (F.size(F.array_except(gi, pi)) == 0) & (F.size(F.array_except(pi, gi)) == 0)
+    alone = F.lit(0 if decoupled else 1)
+    n = lambda c: F.when(c, 1).otherwise(0)
+    counts = {
+        "ex_tp": n(hit), "ex_fp": n(spare), "ex_fn": n(lost),
+        "set_tp": n(hit & equal), "set_fp": n(hit & ~equal) + n(spare) * alone, "set_fn": n(hit & ~equal) + n(lost) * alone,
+        "id_tp": F.when(hit, credit).otherwise(0.0),
+        "id_fp": F.when(hit, F.size(pi) - credit).when(spare, F.size(pi) * alone).otherwise(0.0),
+        "id_fn": F.when(hit, F.size(gi) - credit).when(lost, F.size(gi) * alone).otherwise(0.0),
+    }
+    return both.select(doc, g, p, "outcome", *(c.alias(k) for k, c in counts.items()))
+
+
+def levels(counts: DataFrame) -> DataFrame:
+    """(level, tp, fp, fn, precision, recall, f1) of the three levels of outcome_counts: three rows."""
+    sums = counts.agg(*(F.coalesce(F.sum(f"{x}_{y}"), F.lit(0)).cast("double").alias(f"{x}_{y}") for x in ("ex", "set", "id") for y in ("tp", "fp", "fn")))
+    rows = F.array(*(F.struct(F.lit(name).alias("level"), *(F.col(f"{x}_{y}").alias(y) for y in ("tp", "fp", "fn"))) for x, name in (("ex", "extraction"), ("set", "exact_set"), ("id", "concept"))))
+    return sums.select(F.explode(rows).alias("r")).select("r.*").select("level", "tp", "fp", "fn", *prf_columns("tp", "fp", "fn"))
+
+
+def reserve_then_assign(gold: DataFrame, pred: DataFrame, doc: str, g: str, p: str, key: str, ids: str, min_score: float = 0.0, method: str = "greedy") -> DataFrame:
+    """(doc, g, p, score, method): equal keys are reserved for each other in item order, blank keys never; what is left
+    of both sides is assigned by the Jaccard of its ids. gold has (doc, g, key, ids), pred (doc, p, key, ids)."""
+    keyed = lambda df, x: df.filter(F.col(key) != "").select(doc, key, F.col(x).alias("item"))
+    fixed = consume_equal(keyed(gold, g), keyed(pred, p), [doc, key], "item").select(doc, F.col("gold_item").alias(g), F.col("pred_item").alias(p))
+    rest_g, rest_p = gold.join(fixed.select(doc, g), [doc, g], "left_anti"), pred.join(fixed.select(doc, p), [doc, p], "left_anti")
+    pairs = rest_g.select(doc, g, F.col(ids).alias("a__")).join(rest_p.select(doc, p, F.col(ids).alias("b__")), doc)
+    scored = pairs.select(doc, g, p, T.jaccard(F.col("a__"), F.col("b__")).alias("score"))
+    rest = assign(scored, doc, g, p, "score", method, min_score)
+    return fixed.withColumn("score", F.lit(1.0)).withColumn("method", F.lit("reserved")).unionByName(rest.withColumn("method", F.lit(method)))
+
+
+def nearest_unused(pairs: DataFrame, doc: str, g: str, p: str, similarity: str, overlap: str, min_overlap: int = 1) -> DataFrame:
+    """(doc, g, p, method): each document's gold rows in order take the most similar prediction not yet taken, or, where
+    no similarity is known, the unused one with most common ids, at least min_overlap; ties go to the smaller p. Each row
+    depends on those before it, so a document is one group; it holds the pairs of one document only."""
+
+    def run(frame):
+        import pandas as pd
+
+        used, out = set(), []
+        for item, rows in frame.sort_values([g, p]).groupby(g, sort=True):
+            rows = rows[~rows[p].isin(used)]
+            near = rows.dropna(subset=[similarity]).sort_values([similarity, p], ascending=[False, True])
+            best, how = (near, "semantic") if len(near) else (rows[rows[overlap] >= min_overlap].sort_values([overlap, p], ascending=[False, True]), "overlap")
+            if len(best):
+                used.add(best[p].iloc[0])
+                out.append((frame[doc].iloc[0], item, best[p].iloc[0], how))
+        return pd.DataFrame(out, columns=[doc, g, p, "method"])
+
+    kinds = dict(pairs.dtypes)
+    return pairs.select(doc, g, p, similarity, overlap).groupBy(doc).applyInPandas(run, f"{doc} {kinds[doc]}, {g} {kinds[g]}, {p} {kinds[p]}, method string")
+
+
+def canonical_sets(gold: DataFrame, pred: DataFrame, doc: str, text: str) -> DataFrame:
+    """set_metrics of the canonical statements of both sides, blank ones and 'nan' left out, with the sorted keys that
+    only one side has."""
+    keyed = lambda df: df.filter((F.trim(F.coalesce(text, F.lit(""))) != "") & (F.lower(F.col(text)) != "nan")).select(doc, T.canonical_statement(F.col(text)).alias("key")).distinct()
+    a, b = keyed(gold), keyed(pred)
+    lists = lambda x, y, name: x.join(y, [doc, "key"], "left_anti").groupBy(doc).agg(F.array_sort(F.collect_set("key")).alias(name))
+    none = F.array().cast("array<string>")
+    joined = set_metrics(a, b, doc, "key").join(lists(b, a, "fp_keys"), doc, "left").join(lists(a, b, "fn_keys"), doc, "left")
+    return joined.withColumns({"fp_keys": F.coalesce("fp_keys", none), "fn_keys": F.coalesce("fn_keys", none)})
+
+
+def grid(runs: dict[str, DataFrame], score: str = "f1") -> DataFrame:
+    """(run_tag, score): one row of metrics per run as one table, in the order of the tags."""
+    out = None
+    for tag, frame in runs.items():
+        part = frame.select(F.lit(tag).alias("run_tag"), F.col(score).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out.orderBy("run_tag")
+
+
 def spans_overlap(start_a: Column, end_a: Column, start_b: Column, end_b: Column) -> Column:
     """Whether two half-open spans share a character."""
     return (start_a < end_b) & (start_b < end_a)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage
 
 # Vocabulary names of one catalogue and their abbreviations in another.
 VOCABULARIES = {
@@ -107,9 +108,74 @@ def running_key(df: DataFrame, group: str, order: list, width: int = 3) -> DataF
     return df.withColumn("idx", idx).withColumn("key", F.concat_ws("_", F.col(group).cast("string"), F.lpad(F.col("idx").cast("string"), width, "0")))
 
 
-def shard(df: DataFrame, n: int, order: list, bucket: str) -> DataFrame:
-    """df with shard, dealt in turn within buckets of the table so that no task numbers all rows."""
-    return df.withColumn("shard", F.pmod(F.row_number().over(Window.partitionBy(bucket).orderBy(*order)) - 1, F.lit(n)))
+def shard(df: DataFrame, n: int, order: list) -> DataFrame:
+    """df with shard, the row's place in the order of the whole table modulo n. Rows are numbered within ranges, and the
+    ranges' first places are sums over one small row a range, so that no task numbers all rows."""
+    parts = df.repartitionByRange(*order).withColumn("part__", F.spark_partition_id())
+    parts = cut_lineage(parts)
+    first = F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.groupBy("part__").agg(F.count(F.lit(1)).alias("n__")).select("part__", first.alias("start__"))
+    nth = F.row_number().over(Window.partitionBy("part__").orderBy(*order)) - 1
+    return parts.withColumn("nth__", nth).join(starts, "part__").withColumn("shard", F.pmod(F.col("start__") + F.col("nth__"), F.lit(n))).drop("part__", "nth__", "start__")
+
+
+def restore_order(parts: list[DataFrame], place: str) -> DataFrame:
+    """The rows of all shards in their original order, those without a place last."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.orderBy(F.col(place).asc_nulls_last())
+
+
+def nth_distinct(df: DataFrame, value: str, order: str, n: int) -> DataFrame:
+    """The rows of the n-th distinct value, from 1, in the order in which values first appear."""
+    first = df.groupBy(value).agg(F.min(order).alias("first__"))
+    chosen = first.orderBy("first__", value).limit(n).withColumn("rank__", F.row_number().over(Window.orderBy("first__", value))).filter(F.col("rank__") == n)  # n rows
+    return df.join(chosen.select(value), value, "left_semi")
+
+
+def problems(df: DataFrame, expression: str) -> DataFrame:
+    """Rows whose expression begins with N/A."""
+    return df.filter(F.col(expression).startswith("N/A"))
+
+
+def evaluable(df: DataFrame, state: str, concept: str) -> DataFrame:
+    """df with evaluable (a state of S or PO) and ignored (no concept)."""
+    return df.withColumns({"evaluable": F.coalesce(F.col(state).isin("S", "PO"), F.lit(False)), "ignored": T.blank_missing(F.col(concept).cast("string")) == ""})
+
+
+def join_compared(a: DataFrame, b: DataFrame, keys: list[str], compare: str, suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+    """a left-joined with b, common columns with suffixes, and same: whether both values are there and equal."""
+    rename = lambda df, s, other: df.select(*(F.col(c) if c in keys or c not in other.columns else F.col(c).alias(c + s) for c in df.columns))
+    joined = rename(a, suffixes[0], b).join(rename(b, suffixes[1], a), keys, "left")
+    return joined.withColumn("same", F.coalesce(F.col(compare + suffixes[0]) == F.col(compare + suffixes[1]), F.lit(False)))
+
+
+def flat_lists(df: DataFrame, key: str, lists: str, order: list[str]) -> DataFrame:
+    """(key, values): the lists of a key's rows as one, in row order."""
+    return df.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(lists).alias("l__")))), lambda s: s["l__"])).alias("values"))
+
+
+def pools(items: DataFrame, slots: list[str]) -> DataFrame:
+    """(attribute, conceptId): the distinct candidates of each slot, ids that are no numbers dropped."""
+    long_ = items.select(F.explode(F.array(*(F.struct(F.lit(s).alias("attribute"), F.col(s).alias("hits")) for s in slots))).alias("s"))
+    rows = long_.select("s.attribute", F.explode("s.hits").alias("h")).select("attribute", F.col("h.id").cast("string").try_cast("bigint").alias("conceptId"))
+    return rows.filter("conceptId is not null").distinct()
+
+
+def leaves(edges: DataFrame) -> DataFrame:
+    """(node): children of the tree that are no parents."""
+    return edges.select(F.col("child").alias("node")).distinct().join(edges.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
+
+
+def sample_rows(df: DataFrame, n: int, order: list, how: str = "first", seed: int = 0) -> DataFrame:
+    """n rows: the first in order, or a random choice fixed by the seed. A sample is the feature here."""
+    return df.orderBy(*order).limit(n) if how == "first" else df.orderBy(F.xxhash64(F.lit(seed), *order), *order).limit(n)
+
+
+def sample_groups(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows of the first n ids."""
+    return df.join(df.select(key).distinct().orderBy(key).limit(n), key, "left_semi")
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:

@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..session import cut_lineage
 
 #: Fixed values of the similarity tiers: loss per hop, floor, and the shared-ancestor tier.
@@ -48,6 +49,59 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     return known
 
 
+def below(edges: DataFrame, seeds: list[int]) -> DataFrame:
+    """(node, ancestor, dist): what lies below the seeds alone, found downwards from them; the closure's rows whose
+    ancestor is a seed, without the rest of the closure."""
+    spark = edges.sparkSession
+    edges = cut_lineage(edges.select("child", "parent").filter("child <> parent").distinct())
+    start = spark.createDataFrame([(int(s),) for s in sorted(set(seeds))], "ancestor long")
+    known = frontier = None
+    for d in itertools.count(1):
+        from_ = start.select("ancestor", F.col("ancestor").alias("at")) if frontier is None else frontier.select("ancestor", F.col("node").alias("at"))
+        step = edges.join(from_, edges.parent == F.col("at")).select(F.col("child").alias("node"), "ancestor").filter("node <> ancestor").distinct()
+        frontier = cut_lineage(step if known is None else step.join(known, ["node", "ancestor"], "left_anti"))
+        fresh = frontier.withColumn("dist", F.lit(d))
+        known = fresh if known is None else known.unionByName(fresh)
+        if frontier.isEmpty():
+            return known
+        if d % CUT_EVERY == 0:
+            known = cut_lineage(known)
+
+
+def seeds_of(constraint: str | None) -> list[int]:
+    """The ids that a constraint names."""
+    return [int(m) for m in re.findall(r"\d+", re.sub(r"\|[^|]*\|", "", constraint or ""))]
+
+
+def simple_paths(nodes: DataFrame, edges: DataFrame, cutoff: int) -> DataFrame:
+    """(node, path): every path upwards of 1 to cutoff hops that meets no node twice."""
+    at = nodes.select("node", F.array("node").alias("path"), F.col("node").alias("at"))
+    out = None
+    for _ in range(cutoff):
+        at = at.join(edges, at.at == edges.child).filter(~F.expr("array_contains(path, parent)")).select("node", F.concat("path", F.array("parent")).alias("path"), F.col("parent").alias("at"))
+        part = at.select("node", "path")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def attribute_ranges(focus: DataFrame, hops: DataFrame, domains: DataFrame, attributes: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(focus, attribute, constraint): what a focus may be refined by: the domains it lies in (or is), their attributes,
+    and the constraints of those. domains has (domain, root), attributes (domain, attribute), ranges (attribute,
+    constraint)."""
+    reach = focus.select("focus", F.col("focus").alias("root")).unionByName(hops.select(F.col("node").alias("focus"), F.col("ancestor").alias("root")).join(focus.select("focus"), "focus", "left_semi"))
+    return reach.join(domains, "root").join(attributes, "domain").join(ranges, "attribute").select("focus", "attribute", "constraint").distinct()
+
+
+def labelled_relations(relations: DataFrame, labels: DataFrame) -> DataFrame:
+    """Relations with their type's and destination's labels, tags cut, ids as text; the id where a label is missing.
+    labels has (conceptId, term)."""
+    named = lambda x: labels.select(F.col("conceptId").alias(x), T.strip_tag(F.col("term")).alias(f"{x}_term"))
+    joined = relations.join(named("typeId"), "typeId", "left").join(named("destinationId"), "destinationId", "left")
+    text = lambda c: F.col(c).cast("string").alias(c)
+    terms = [F.coalesce(f"{x}_term", F.col(x).cast("string")).alias(f"{x}_term") for x in ("typeId", "destinationId")]
+    return joined.select(text("sourceId"), text("typeId"), text("destinationId"), *terms, "relationshipGroup")
+
+
 def descendants_or_self(hops: DataFrame, of: int) -> DataFrame:
     """(node): everything below a concept, and itself."""
     spark = hops.sparkSession
@@ -168,17 +222,27 @@ def clusters(candidates: DataFrame, hops: DataFrame, depth: DataFrame, min_depth
     named = pairs.join(common_ancestors(pairs.select("a", "b").distinct(), hops, depth).filter(F.col("lca_depth") >= min_depth), ["a", "b"])
     nodes = named.select("query", "lca", F.explode(F.array("a", "b")).alias("node")).distinct()
     away = nodes.join(hops.select("node", F.col("ancestor").alias("lca"), "dist"), ["node", "lca"], "left").withColumn("dist", F.coalesce("dist", F.lit(UNREACHABLE_HOPS)))
-    g = away.join(candidates, ["query", "node"]).groupBy("query", "lca").agg(F.count(F.lit(1)).alias("size"), F.avg("dist").alias("mean_dist"), F.avg("score").alias("mean_score"))
-    return g.filter("size > 1 and mean_dist >= 1").select("query", "lca", "size", (F.col("size") / F.col("mean_dist") * F.col("mean_score")).alias("score"))
+    # sums of whole numbers and decimals, divided once: the order of the rows cannot change a digit
+    total = F.sum(F.col("score").cast("decimal(18,9)")).cast("double")
+    g = away.join(candidates, ["query", "node"]).groupBy("query", "lca").agg(F.count(F.lit(1)).alias("size"), F.sum("dist").alias("hops"), total.alias("total"))
+    return g.filter("size > 1 and hops >= size").select("query", "lca", "size", (F.col("size") * F.col("total") / F.col("hops")).alias("score"))
 
 
-def composition(relations: DataFrame, is_a: int) -> DataFrame:
-    """(sourceId, expression): parents joined by ' + ', then ungrouped attributes, then groups in braces, by ids.
+def composition(relations: DataFrame, is_a: int, labels: DataFrame | None = None) -> DataFrame:
+    """(sourceId, expression): parents joined by ' + ', then ungrouped attributes, then groups in braces, in the order of
+    ids; with labels (conceptId, term) each id is followed by |label|.
 
     relations has (sourceId, typeId, destinationId, relationshipGroup)."""
     r = relations.select("sourceId", "typeId", "destinationId", F.col("relationshipGroup").alias("g")).distinct()
-    pair = F.concat_ws(" = ", F.col("typeId").cast("string"), F.col("destinationId").cast("string"))
-    parents = r.filter(F.col("typeId") == is_a).groupBy("sourceId").agg(F.array_join(F.transform(F.array_sort(F.collect_list("destinationId")), lambda x: x.cast("string")), " + ").alias("parents"))
+    for x in ("typeId", "destinationId"):
+        shown = F.col(x).cast("string")
+        if labels is not None:
+            r = r.join(labels.select(F.col("conceptId").alias(x), F.col("term").alias(f"{x}_t")), x, "left")
+            shown = F.when(F.col(f"{x}_t").isNull(), shown).otherwise(F.concat(shown, F.lit(" |"), F.col(f"{x}_t"), F.lit("|")))
+        r = r.withColumn(f"{x}_s", shown)
+    pair = F.concat_ws(" = ", "typeId_s", "destinationId_s")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("destinationId", "destinationId_s"))), lambda s: s["destinationId_s"])
+    parents = r.filter(F.col("typeId") == is_a).groupBy("sourceId").agg(F.array_join(listed, " + ").alias("parents"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("typeId", "destinationId", pair.alias("p")))), lambda s: s["p"])
     groups = r.filter(F.col("typeId") != is_a).groupBy("sourceId", "g").agg(F.array_join(ordered, ", ").alias("body"))
     groups = groups.withColumn("body", F.when(F.col("g") == 0, F.col("body")).otherwise(F.concat(F.lit("{"), F.col("body"), F.lit("}"))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -158,18 +159,106 @@ def span_overlap(spark, d):
     return a.join(b, "user_id").filter(ev.spans_overlap(F.col("s1"), F.col("s1") + 5, F.col("s2"), F.col("s2") + 5)).select("a", "b")
 
 
-_CANON = "SELECT doc_id, trim(regexp_replace(lower(lang || ' ' || source), '\\s+', ' ', 'g')) AS k FROM documents"
+@plan("""WITH g AS (SELECT DISTINCT l_orderkey AS doc, lower(p_type) AS k FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A'),
+p AS (SELECT DISTINCT l_orderkey AS doc, lower(p_type) AS k FROM lineitem JOIN part ON l_suppkey = p_partkey WHERE l_returnflag = 'N' OR l_linenumber = 1),
+j AS (SELECT coalesce(g.doc, p.doc) AS doc, count(*) FILTER (WHERE g.k IS NOT NULL AND p.k IS NOT NULL) AS tp, count(*) FILTER (WHERE g.k IS NULL) AS fp, count(*) FILTER (WHERE p.k IS NULL) AS fn,
+coalesce(string_agg(p.k, ';' ORDER BY p.k) FILTER (WHERE g.k IS NULL), '') AS fp_keys, coalesce(string_agg(g.k, ';' ORDER BY g.k) FILTER (WHERE p.k IS NULL), '') AS fn_keys FROM g FULL JOIN p ON g.doc = p.doc AND g.k = p.k GROUP BY 1)
+SELECT doc, tp, fp, fn, fp_keys, fn_keys FROM j""")
+def lexical_keys(spark, d):
+    """Statements that differ in lead phrases and case match by their canonical form."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_type")
+    li = table(spark, d, "lineitem")
+    gold = li.filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("k")).join(p, "k").select("doc", F.concat(F.lit("Patients with "), "p_type").alias("text"))
+    pred = li.filter("l_returnflag = 'N' or l_linenumber = 1").select(F.col("l_orderkey").alias("doc"), F.col("l_suppkey").alias("k")).join(p, "k").select("doc", F.concat(F.lit(" known "), "p_type").alias("text"))
+    m = ev.canonical_sets(gold, pred, "doc", "text")
+    return m.select("doc", "tp", "fp", "fn", F.array_join("fp_keys", ";").alias("fp_keys"), F.array_join("fn_keys", ";").alias("fn_keys"))
 
 
-@plan(f"""WITH k AS ({_CANON}), g AS (SELECT k, count(*) AS n FROM k GROUP BY 1) SELECT k AS canonical, n FROM g""")
-def lexical_keys(spark, d):
-    k = T.canonical_statement(F.concat_ws(" ", "lang", "source"))
-    return table(spark, d, "documents").groupBy(k.alias("canonical")).agg(F.count(F.lit(1)).alias("n"))
+def _statements(spark, d):
+    """Per order, gold statements (flag A, every fifth ignored) and predictions (flag N) with two ids each, paired by
+    their number within the order; orders without gold have predictions alone."""
+    it = mapped._items(spark, d)
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("item"))
+    side = lambda flag, x, ids: it.filter(F.col("l_returnflag") == flag).withColumn("nth", nth).select(F.col("l_orderkey").alias("doc"), F.col("item").alias(x), "nth", "l_partkey", F.array(*ids).alias("ids"))
+    gold = side("A", "g", [F.col("l_linenumber").cast("long"), F.col("l_partkey") % 3]).withColumn("ignored", F.col("l_partkey") % 5 == 0)
+    pred = side("N", "p", [F.col("l_linenumber").cast("long"), F.col("l_suppkey") % 3])
+    matched = gold.select("doc", "g", "nth").join(pred.select("doc", "p", "nth"), ["doc", "nth"]).drop("nth")
+    return gold, pred, matched
+
+
+_ST = f"""{mapped._ITEMS}, gs AS (SELECT l_orderkey AS doc, item AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY item) AS nth, list_distinct([CAST(l_linenumber AS BIGINT), CAST(l_partkey % 3 AS BIGINT)]) AS gi, l_partkey % 5 = 0 AS ignored FROM it WHERE l_returnflag = 'A'),
+ps AS (SELECT l_orderkey AS doc, item AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY item) AS nth, list_distinct([CAST(l_linenumber AS BIGINT), CAST(l_suppkey % 3 AS BIGINT)]) AS pi FROM it WHERE l_returnflag = 'N'),
+oc AS (SELECT coalesce(gs.doc, ps.doc) AS doc, g, p, gi, pi, CASE WHEN p IS NULL THEN CASE WHEN ignored THEN 'ignored_gold_unmatched' ELSE 'unmatched_gold' END WHEN g IS NULL THEN 'unmatched_pred' WHEN ignored THEN 'matched_ignored_gold' ELSE 'matched' END AS outcome
+FROM gs FULL JOIN ps ON gs.doc = ps.doc AND gs.nth = ps.nth)"""
+
+
+def _levels_sql(alone: int) -> str:
+    eq = "len(gi) = len(pi) AND len(list_intersect(gi, pi)) = len(gi)"
+    sums = f"""SELECT sum(CASE WHEN outcome = 'matched' THEN 1 ELSE 0 END) AS a1, sum(CASE WHEN outcome = 'unmatched_pred' THEN 1 ELSE 0 END) AS b1, sum(CASE WHEN outcome = 'unmatched_gold' THEN 1 ELSE 0 END) AS c1,
+    sum(CASE WHEN outcome = 'matched' AND {eq} THEN 1 ELSE 0 END) AS a2, sum(CASE WHEN outcome = 'matched' AND NOT ({eq}) THEN 1 WHEN outcome = 'unmatched_pred' THEN {alone} ELSE 0 END) AS b2, sum(CASE WHEN outcome = 'matched' AND NOT ({eq}) THEN 1 WHEN outcome = 'unmatched_gold' THEN {alone} ELSE 0 END) AS c2,
+    sum(CASE WHEN outcome = 'matched' THEN len(list_intersect(gi, pi)) ELSE 0 END) AS a3, sum(CASE WHEN outcome = 'matched' THEN len(pi) - len(list_intersect(gi, pi)) WHEN outcome = 'unmatched_pred' THEN len(pi) * {alone} ELSE 0 END) AS b3, sum(CASE WHEN outcome = 'matched' THEN len(gi) - len(list_intersect(gi, pi)) WHEN outcome = 'unmatched_gold' THEN len(gi) * {alone} ELSE 0 END) AS c3 FROM oc"""
+    return f"""lv{alone} AS (SELECT unnest(['extraction', 'exact_set', 'concept']) AS level, CAST(unnest([a1, a2, a3]) AS DOUBLE) AS tp, CAST(unnest([b1, b2, b3]) AS DOUBLE) AS fp, CAST(unnest([c1, c2, c3]) AS DOUBLE) AS fn FROM ({sums})),
+    mt{alone} AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS rc FROM lv{alone})"""
+
+
+_MT = "SELECT {tag}level, tp, fp, fn, round(pr, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END, 6) AS f1 FROM mt{n}"
+
+
+def _levels(spark, d, decoupled):
+    gold, pred, matched = _statements(spark, d)
+    outcomes = ev.detail(gold, pred, matched, "doc", "g", "p")
+    return ev.levels(ev.outcome_counts(outcomes, gold, pred, "doc", "g", "p", decoupled))
+
+
+@plan(f"WITH {_ST}, {_levels_sql(0)}, {_levels_sql(1)} " + _MT.format(tag="'decoupled' AS counting, ", n=0) + " UNION ALL " + _MT.format(tag="'coupled' AS counting, ", n=1))
+def three_level_metrics(spark, d):
+    """Ignored gold takes its prediction out of every level; unmatched rows count below the first level if coupled."""
+    tagged = lambda x, tag: _rounded(x).select(F.lit(tag).alias("counting"), "*")
+    return tagged(_levels(spark, d, True), "decoupled").unionByName(tagged(_levels(spark, d, False), "coupled"))
+
 
+@plan(f"WITH {_ST} SELECT doc, g, p, outcome FROM oc WHERE outcome <> 'unmatched_pred' OR doc IN (SELECT doc FROM gs) UNION ALL SELECT doc, g, p, 'unmatched_pred_no_gold' FROM oc WHERE doc NOT IN (SELECT doc FROM gs)")
+def outcome_table(spark, d):
+    return ev.detail(*_statements(spark, d), "doc", "g", "p")
 
-@plan("""SELECT o_orderpriority AS run_tag, round(avg(o_totalprice), 4) AS score FROM orders GROUP BY 1""")
+
+@plan(f"""WITH {_ST} SELECT gs.doc, g, p, round(len(list_intersect(gi, pi)) / CAST(len(gi) + len(pi) - len(list_intersect(gi, pi)) AS DOUBLE), 6) AS score FROM gs JOIN ps ON gs.doc = ps.doc WHERE NOT ignored""")
+def id_jaccard_pairs(spark, d):
+    """Ignored gold is dropped before any pair is scored."""
+    gold, pred, _ = _statements(spark, d)
+    pairs = gold.filter("not ignored").select("doc", "g", F.col("ids").alias("a")).join(pred.select("doc", "p", F.col("ids").alias("b")), "doc")
+    return pairs.select("doc", "g", "p", F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+@plan()
+def reserved_then_greedy(spark, d):
+    """Equal part numbers modulo 7 are reserved, the rest goes by the Jaccard of ids."""
+    gold, pred, _ = _statements(spark, d)
+    keyed = lambda df, x: df.select("doc", x, (F.col("l_partkey") % 7).cast("string").alias("key"), F.col("ids").cast("array<string>").alias("ids"))
+    return ev.reserve_then_assign(keyed(gold, "g"), keyed(pred, "p"), "doc", "g", "p", "key", "ids", 0.01)
+
+
+@plan()
+def nearest_unused(spark, d):
+    """Similarity of token sets where both sides have words; else common ids."""
+    pairs = _pairs(spark, d).select("conv_id", "g", "p", F.when(F.col("jaccard") > 0, F.col("jaccard")).alias("similarity"), (F.col("g") % 2 + F.col("p") % 2).cast("int").alias("overlap"))
+    return ev.nearest_unused(pairs, "conv_id", "g", "p", "similarity", "overlap")
+
+
+_RUN = "SELECT '{t}' AS run_tag, CASE WHEN 2.0 * tp + fp + fn > 0 THEN 2.0 * tp / (2.0 * tp + fp + fn) ELSE 0 END AS score FROM (SELECT count(*) FILTER (WHERE l_linenumber <= {k} AND l_returnflag = 'R') AS tp, count(*) FILTER (WHERE l_linenumber <= {k} AND l_returnflag <> 'R') AS fp, count(*) FILTER (WHERE l_linenumber > {k} AND l_returnflag = 'R') AS fn FROM lineitem)"
+
+
+@plan("SELECT run_tag, round(score, 6) AS score FROM (" + " UNION ALL ".join(_RUN.format(t=f"run{k}", k=k) for k in range(1, 9)) + ")")
 def grid_summary(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("run_tag")).agg(F.round(F.avg("o_totalprice"), 4).alias("score")).orderBy("run_tag")
+    """Eight runs that keep 1 to 8 lines of an order, each with its own metrics, as one table."""
+    li = table(spark, d, "lineitem")
+    hit = F.col("l_returnflag") == "R"
+
+    def run(k):
+        kept = F.col("l_linenumber") <= k
+        return li.agg(F.count_if(kept & hit).alias("tp"), F.count_if(kept & ~hit).alias("fp"), F.count_if(~kept & hit).alias("fn")).select(*ev.prf_columns("tp", "fp", "fn"))
+
+    return ev.grid({f"run{k}": run(k) for k in range(1, 9)}).select("run_tag", F.round("score", 6).alias("score"))
 
 
 @plan("SELECT lang, count(*) AS n, round(sum(n_chars) / 1000.0, 3) AS total, round(avg(n_chars), 3) AS mean FROM documents GROUP BY lang")

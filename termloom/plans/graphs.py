@@ -32,10 +32,10 @@ def _nodes(spark, d):
 
 
 _E = "e AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey > 1 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 2)"
-_C = f"{_E}, w(node, ancestor, dist) AS (SELECT child, parent, 1 FROM e UNION SELECT w.node, e.parent, w.dist + 1 FROM w JOIN e ON w.ancestor = e.child), c AS (SELECT node, ancestor, min(dist) AS dist FROM w GROUP BY 1, 2)"
-_D = "dp AS (SELECT p_partkey AS node, coalesce(dist, 0) AS depth FROM part LEFT JOIN c ON c.node = p_partkey AND c.ancestor = 1)"
-_PAIRS = "pr AS (SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey)"
-_L = "lc AS (SELECT a, b, arg_min(ancestor, (-depth, ancestor)) AS lca, max(depth) AS lca_depth FROM (SELECT pr.a, pr.b, x.ancestor, dp.depth FROM pr JOIN c x ON x.node = pr.a JOIN c y ON y.node = pr.b AND y.ancestor = x.ancestor JOIN dp ON dp.node = x.ancestor) GROUP BY 1, 2)"
+_C = f"{_E}, w(node, ancestor, dist) AS (SELECT child, parent, 1 FROM e UNION SELECT w.node, e.parent, w.dist + 1 FROM w JOIN e ON w.ancestor = e.child), c AS MATERIALIZED (SELECT node, ancestor, min(dist) AS dist FROM w GROUP BY 1, 2)"
+_D = "dp AS MATERIALIZED (SELECT p_partkey AS node, coalesce(dist, 0) AS depth FROM part LEFT JOIN c ON c.node = p_partkey AND c.ancestor = 1)"
+_PAIRS = "pr AS MATERIALIZED (SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey)"
+_L = "lc AS MATERIALIZED (SELECT a, b, arg_min(ancestor, (-depth, ancestor)) AS lca, max(depth) AS lca_depth FROM (SELECT pr.a, pr.b, x.ancestor, dp.depth FROM pr JOIN c x ON x.node = pr.a JOIN c y ON y.node = pr.b AND y.ancestor = x.ancestor JOIN dp ON dp.node = x.ancestor) GROUP BY 1, 2)"
 
 
 def _pairs(spark, d):
@@ -50,12 +50,12 @@ def ancestor_closure(spark, d):
 
 @plan(f"WITH RECURSIVE {_C}, {_D} SELECT node, depth FROM dp")
 def concept_depth(spark, d):
-    return g.depths(_nodes(spark, d), g.closure(_edges(spark, d)), 1)
+    return g.depths(_nodes(spark, d), g.below(_edges(spark, d), [1]), 1)
 
 
 @plan(f"WITH RECURSIVE {_C} SELECT node FROM c WHERE ancestor = 7 UNION SELECT 7")
 def descendants_or_self(spark, d):
-    return g.descendants_or_self(g.closure(_edges(spark, d)), 7)
+    return g.descendants_or_self(g.below(_edges(spark, d), [7]), 7)
 
 
 @plan(f"WITH RECURSIVE {_C}, {_D}, {_PAIRS}, {_L} SELECT a, b, lca, lca_depth FROM lc")
@@ -85,19 +85,20 @@ def nearest_domain(spark, d):
 
 @plan(f"WITH RECURSIVE {_C} (SELECT node FROM c WHERE ancestor = 5 UNION SELECT 5) INTERSECT SELECT node FROM c WHERE ancestor = 3 EXCEPT SELECT node FROM c WHERE ancestor = 30")
 def ecl_membership(spark, d):
-    return g.members("<< 5 AND < 3 MINUS < 30", g.closure(_edges(spark, d)), _nodes(spark, d))
+    ecl = "<< 5 AND < 3 MINUS < 30"
+    return g.members(ecl, g.below(_edges(spark, d), g.seeds_of(ecl)), _nodes(spark, d))
 
 
 @plan(f"""WITH RECURSIVE {_C}, {_D}, cand AS (SELECT l_orderkey AS query, l_partkey AS node, max(l_discount) AS score FROM lineitem GROUP BY 1, 2),
 {_PAIRS}, {_L},
 nm AS (SELECT x.query, x.node AS a, y.node AS b, lc.lca FROM cand x JOIN cand y ON x.query = y.query AND x.node < y.node JOIN lc ON lc.a = x.node AND lc.b = y.node WHERE lc.lca_depth >= 2),
 nd AS (SELECT query, lca, a AS node FROM nm UNION SELECT query, lca, b FROM nm),
-gr AS (SELECT nd.query, nd.lca, count(*) AS size, avg(coalesce(c.dist, 10)) AS md, avg(cand.score) AS ms FROM nd LEFT JOIN c ON c.node = nd.node AND c.ancestor = nd.lca JOIN cand ON cand.query = nd.query AND cand.node = nd.node GROUP BY 1, 2)
-SELECT query, lca, size, round(size / md * ms, 6) AS score FROM gr WHERE size > 1 AND md >= 1""")
+gr AS (SELECT nd.query, nd.lca, count(*) AS size, sum(coalesce(c.dist, 10)) AS hops, CAST(sum(CAST(cand.score AS DECIMAL(18,9))) AS DOUBLE) AS total FROM nd LEFT JOIN c ON c.node = nd.node AND c.ancestor = nd.lca JOIN cand ON cand.query = nd.query AND cand.node = nd.node GROUP BY 1, 2)
+SELECT query, lca, size, floor(size * total / hops * 1e6 + 0.5) / 1e6 AS score FROM gr WHERE size > 1 AND hops >= size""")
 def lca_clusters(spark, d):
     hops = g.cut_lineage(g.closure(_edges(spark, d)))
     cand = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("query"), F.col("l_partkey").alias("node")).agg(F.max("l_discount").alias("score"))
-    return g.clusters(cand, hops, g.depths(_nodes(spark, d), hops, 1), 2).select("query", "lca", "size", F.round("score", 6).alias("score"))
+    return g.clusters(cand, hops, g.depths(_nodes(spark, d), hops, 1), 2).select("query", "lca", "size", (F.floor(F.col("score") * 1e6 + 0.5) / 1e6).alias("score"))
 
 
 @plan(f"""WITH RECURSIVE {_E}, up AS (SELECT child, min(parent) AS p FROM e GROUP BY 1)

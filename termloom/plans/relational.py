@@ -145,10 +145,10 @@ def running_item_key(spark, d):
 
 
 @plan("""
-WITH r AS (SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) % 4 AS shard FROM orders)
+WITH r AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) % 4 AS shard FROM orders)
 SELECT shard, count(*) AS n, min(o_orderkey) AS least FROM r GROUP BY shard""")
 def modulo_shards(spark, d):
-    return fr.shard(table(spark, d, "orders"), 4, ["o_orderkey"], "o_orderpriority").groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("least"))
+    return fr.shard(table(spark, d, "orders"), 4, ["o_orderkey"]).groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("least"))
 
 
 @plan("""

@@ -5,11 +5,14 @@ vector of an item is the one of equal id, and a document's the one of its id."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import retrieval as rt
-from ..session import table
+from ..session import shared_root, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -64,7 +67,8 @@ _GRAMS = "list_transform(list_concat(list_transform(range(len(ts) - 1), lambda i
 
 @plan(f"""WITH {_BASE}, ds AS (SELECT doc_id, {_GRAMS} AS ts FROM dt), qs AS (SELECT item_id, {_GRAMS} AS ts FROM qt),
 {_scores('a', 'dt', 'qt', 1.2, 0.75)}, {_scores('g', 'ds', 'qs', 1.2, 0.75)},
-ph AS (SELECT g.item_id, g.doc_id FROM g JOIN dt ON g.doc_id = dt.doc_id JOIN qt ON g.item_id = qt.item_id
+near AS (SELECT item_id, doc_id FROM g UNION ALL SELECT a.item_id, a.doc_id FROM a JOIN qt ON a.item_id = qt.item_id WHERE len(qt.ts) = 1),
+ph AS (SELECT g.item_id, g.doc_id FROM near g JOIN dt ON g.doc_id = dt.doc_id JOIN qt ON g.item_id = qt.item_id
        WHERE contains(' ' || array_to_string(dt.ts, ' ') || ' ', ' ' || array_to_string(qt.ts, ' ') || ' ')),
 ex AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON lower(trim(b.text)) = lower(trim(d.text))),
 u AS (SELECT item_id, doc_id, score * 0.6 AS score FROM a UNION ALL SELECT item_id, doc_id, score * 2.0 FROM g
@@ -120,7 +124,10 @@ SELECT item_id, doc_id, round(fused, 9) AS fused, origin, row_number() OVER (PAR
 
 @plan(f"WITH {_BASE}, {_scores('s', 'dt', 'qt', 1.2, 0.75)}, {_scores('t', 'dt', 'qt', 1.2, 0.5)}, l0 AS ({_top('s', 20)}), l1 AS ({_top('t', 20)}), " + _FUSE.format(a="plain", b="tuned", k=10))
 def rrf_fuse(spark, d):
-    return rt.rrf([("plain", _bm25(spark, d, 20)), ("tuned", _bm25(spark, d, 20, b=0.5))], "item_id", "doc_id", 10).select("item_id", "doc_id", F.round("fused", 9).alias("fused"), "origin", "rank")
+    items, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    index = rt.Postings(docs, "doc_id", T.analysed_tokens(F.col("text")), rt.query_words(items, "item_id", "text"))  # one index for both lists
+    top = lambda b: rt.bm25_top(items, docs, "item_id", "text", "doc_id", "text", 20, b=b, index=index)
+    return rt.rrf([("plain", top(rt.B)), ("tuned", top(0.5))], "item_id", "doc_id", 10).select("item_id", "doc_id", F.round("fused", 9).alias("fused"), "origin", "rank")
 
 
 _DENSE = f"SELECT q.vec_id AS item_id, e.vec_id AS doc_id, round(list_dot_product(q.v, e.v), 9) AS score FROM {_UNIT} q, {_UNIT} e WHERE q.vec_id IN (SELECT item_id FROM benchmark)"
@@ -161,3 +168,66 @@ def encoded_rerank(spark, d):
 
     hits = _bm25(spark, d, 10).join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("q")), "item_id").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return rt.rerank(hits, "item_id", "doc_id", "q", "text", pairs, 5).select("item_id", "doc_id", F.round("rerank_score", 6).alias("rerank_score"), "rerank")
+
+
+@plan(f"""WITH {_BASE.replace("FROM documents", "FROM documents WHERE lang IN ('de', 'fr')")}, ds AS (SELECT doc_id, {_GRAMS} AS ts FROM dt), qs AS (SELECT item_id, {_GRAMS} AS ts FROM qt),
+{_scores('a', 'dt', 'qt', 1.2, 0.75)}, {_scores('g', 'ds', 'qs', 1.2, 0.75)},
+u AS (SELECT item_id, doc_id, score * 0.6 AS score FROM a UNION ALL SELECT item_id, doc_id, score * 2.0 FROM g
+      UNION ALL SELECT g.item_id, g.doc_id, 3.0 FROM g JOIN dt ON g.doc_id = dt.doc_id JOIN qt ON g.item_id = qt.item_id WHERE contains(' ' || array_to_string(dt.ts, ' ') || ' ', ' ' || array_to_string(qt.ts, ' ') || ' ')),
+s AS (SELECT item_id, doc_id, sum(score) AS score FROM u GROUP BY 1, 2)
+SELECT item_id, doc_id, round(score, 6) AS score, rank FROM ({_top('s', 5)})""")
+def tiered_tagged(spark, d):
+    """Only documents of two tags are searched."""
+    r = rt.tiered(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text", 5, "lang", ["de", "fr"])
+    return r.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@plan(f"SELECT vec_id, label, round(v[1], 6) AS first, round(v[2], 6) AS second FROM {_UNIT}")
+def vector_index(spark, d):
+    """Vectors written as a table of unit vectors, opened again and read."""
+    path = f"{shared_root(spark)}/vectors-{uuid.uuid4().hex}"
+    rt.save_vectors(table(spark, d, "embeddings").withColumn("vec_id", F.col("vec_id").cast("string")), path, "vec_id", "embedding")
+    rt.load_vectors(spark, path)
+    v = rt.load_vectors(spark, path)
+    return v.select("vec_id", "label", F.round(F.get("embedding", F.lit(0)), 6).alias("first"), F.round(F.get("embedding", F.lit(1)), 6).alias("second"))
+
+
+@plan(f"""WITH {_BASE}, {_scores('s', 'dt', 'qt', 1.2, 0.75)}
+SELECT item_id, string_agg(rank || '. ' || doc_id || ' (' || printf('%.3f', round(score, 6)) || ')' || CASE WHEN doc_id % 2 = 0 THEN ' | ' || doc_id || ' -> ' || (doc_id // 2) ELSE '' END, chr(10) ORDER BY rank) AS block FROM ({_top('s', 3)}) GROUP BY 1""")
+def candidate_paths(spark, d):
+    path = F.when(F.col("doc_id") % 2 == 0, F.concat_ws(" -> ", F.col("doc_id").cast("string"), F.expr("cast(doc_id div 2 as string)")))
+    top = _bm25(spark, d, 3).select("item_id", F.col("doc_id").cast("string").alias("label"), F.round("score", 6).alias("score"), "rank", path.alias("path"))
+    return rt.candidate_block("label", "score", "rank", "item_id", top, 3, "path")
+
+
+def _pair_scores(a, b):
+    enc = rt.hashing_encoder()
+    return [float(x @ y) for x, y in zip(enc(a), enc(b), strict=True)]
+
+
+@plan()
+def hybrid_full(spark, d):
+    """Dense and tiered lexical lists fused, labelled, scored again, with the path to the concept's halves."""
+    e = table(spark, d, "embeddings")
+    concepts = table(spark, d, "documents").select(F.col("doc_id").alias("concept"), F.substring("text", 1, 400).alias("label"), F.col("lang").alias("tag"))
+    vectors = e.select("vec_id", F.col("vec_id").alias("concept"), F.col("embedding").alias("vector"))
+    queries = table(spark, d, "benchmark").join(e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vector")), "item_id")
+    paths = concepts.select("concept", F.concat_ws(" -> ", F.col("concept").cast("string"), F.expr("cast(concept div 2 as string)")).alias("path"))
+    r = rt.full_hybrid(queries, concepts, vectors, "item_id", "text", "query_vector", "concept", "label", "vector", _pair_scores, paths)
+    return r.select("item_id", "concept", F.round("fused", 9).alias("fused"), "origin", F.round("rerank_score", 6).alias("rerank_score"), "rank", "path")
+
+
+@plan(f"""WITH {_BASE}, qn AS (SELECT item_id, ts FROM qt WHERE item_id % 3 <> 0),
+{_scores('s', 'dt', 'qn', 1.2, 0.75)}, t AS ({_top('s', 3)})
+SELECT b.item_id, coalesce(string_agg(t.doc_id || '', ',' ORDER BY t.rank), '') AS ci_text, '' AS severity FROM benchmark b LEFT JOIN t ON t.item_id = b.item_id GROUP BY 1""")
+def item_term_map(spark, d):
+    """Every item's texts searched as one batch; blank texts get no candidates."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    items = table(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 3 != 0, F.col("text")).otherwise("  ").alias("ci"), F.lit(None).cast("string").alias("severity"))
+
+    def search(texts):
+        return rt.bm25_top(texts, docs, "query", "text", "doc_id", "text", 3).withColumn("label", F.col("doc_id").cast("string"))
+
+    m = rt.map_terms(items, ["item_id"], {"ci": "ci", "severity": "severity"}, search, "doc_id", "label")
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x["label"]), ",")
+    return m.select("item_id", ids("ci_terms").alias("ci_text"), ids("severity_terms").alias("severity"))
