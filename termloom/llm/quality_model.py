@@ -6,7 +6,7 @@ regression keeps few of them; and intercept plus weighted rules become one colum
 over the texts inside the JVM. Every whole text is scored. Labels, lang, source and doc_id never enter a score.
 
 Null and empty texts have zero statistics and are scored by the rules that hold for those. Repeated ids are scored
-each by itself. Null labels do not train; without labels of both classes every score is the base rate (0.5 without
+each by itself; of a repeated doc_id one text trains. statistics replaces input columns that have a feature's name. Null labels do not train; without labels of both classes every score is the base rate (0.5 without
 labels). An empty table gives an empty result; other columns are ignored.
 """
 

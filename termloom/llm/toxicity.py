@@ -1,14 +1,14 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios (NB-SVM style).
 
-Features are hashed byte n-grams of lengths NGRAMS over the text with A-Z lowered, taken per document as present or
+Features are hashed n-grams of NGRAMS code points over the text with A-Z lowered, taken per document as present or
 absent. Three passes: (1) n-gram counts by class over the training rows give log ratios, from which the N_FEATURES
 most telling n-grams are kept; (2) the training rows' kept n-grams go to the driver, which fits an L2 logistic
 regression on presence times ratio; (3) all documents are scored in Arrow batches with a hash table of the weights.
 Training rows are labelled rows outside the held-out fold, at most MAX_TRAIN of them, by smallest hash of doc_id; every
 document's whole text is read and scored. Labels, lang, source and doc_id never enter a score.
 
-Null and empty texts have no n-gram and score the intercept. Repeated ids are scored each by itself; a doc_id that is
-labelled twice trains twice. Null labels do not train. Without labels of both classes every score is the base rate
+Null and empty texts have no n-gram and score the intercept. Repeated ids are scored each by itself; one text of a
+repeated doc_id trains, that of the smallest hash, and a doc_id with two labels trains once with each. Null labels do not train. Without labels of both classes every score is the base rate
 (0 where there is none). An empty table gives an empty result; other columns are ignored.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, table
-from .hashing import FOLD, P, buffer_of, mix
+from .hashing import P, buffer_of, mix
 
 NGRAMS = (4, 5)
 SPACE_BITS = 22
@@ -29,22 +29,29 @@ N_FEATURES = 2048
 MAX_TRAIN = 16_384
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
-MIN_DOCS = 8
+
+
+def code_points(texts) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts with A-Z lowered, offsets with one more entry than texts)."""
+    raw, off = buffer_of(texts)
+    point = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4").astype(np.uint64)
+    point[(point >= 65) & (point <= 90)] += np.uint64(32)
+    return point, np.r_[0, np.cumsum((raw & 0xC0) != 0x80)][off]
 
 
 def ngram_hits(texts, table_of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """(row, feature) pairs, distinct: hashed n-grams, or their places in table_of (-1 there: not a feature)."""
-    raw, off = buffer_of(texts)
-    n_rows, n = len(off) - 1, len(raw)
+    point, off = code_points(texts)
+    n_rows, n = len(off) - 1, len(point)
     rows_out, feats_out = [], []
     if n:
-        byte = FOLD[raw].astype(np.uint64) + np.uint64(1)
+        point = point + np.uint64(1)
         row = np.repeat(np.arange(n_rows), np.diff(off))
         acc = np.zeros(n, dtype=np.uint64)
         shift = np.uint64(64 - SPACE_BITS)
         for k in range(max(NGRAMS)):
             m = n - k
-            acc = acc[:m] * P + byte[k:]
+            acc = acc[:m] * P + point[k:]
             if k + 1 in NGRAMS:
                 code = (mix(acc + np.uint64(k)) >> shift).astype(np.int64)
                 inside = row[:m] == row[k:]
@@ -84,8 +91,10 @@ def logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarr
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, max_train: int) -> DataFrame:
     """(text, y) of the labelled rows outside the held-out fold, at most max_train by smallest hash of doc_id."""
     y = labels.filter(F.col(label).isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % folds != held_out))
-    y = y.select("doc_id", F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_train)
-    return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("text", "y")  # max_train rows of two numbers
+    y = y.select("doc_id", F.col(label).cast("int").alias("y")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_train)
+    rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")  # max_train rows of two numbers
+    one = F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), "text"))  # of a repeated doc_id; a struct keeps nulls
+    return rows.groupBy("doc_id", "y").agg(one.alias("t")).select("t.text", "y")
 
 
 def _class_counts(batches: Iterator) -> Iterator:
@@ -121,7 +130,7 @@ class NbLinear:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(train: DataFrame, n_features: int = N_FEATURES, min_docs: int = MIN_DOCS) -> NbLinear:
+def fit(train: DataFrame, n_features: int = N_FEATURES) -> NbLinear:
     spark = train.sparkSession
     ship(spark)
     n_pos, n_all = train.agg(F.sum("y"), F.count(F.lit(1))).first()
@@ -129,7 +138,7 @@ def fit(train: DataFrame, n_features: int = N_FEATURES, min_docs: int = MIN_DOCS
     if not 0 < n_pos < n_all:
         base = np.clip(n_pos / n_all if n_all else 0.0, 1e-9, 1 - 1e-9)
         return NbLinear(np.zeros(0, np.int64), np.zeros(0), float(np.log(base / (1 - base))))
-    counts = train.mapInArrow(_class_counts, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter(F.col("pos") + F.col("neg") >= min_docs)
+    counts = train.mapInArrow(_class_counts, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ratio = F.log((F.col("pos") + 1) / (n_pos + 2)) - F.log((F.col("neg") + 1) / (n_all - n_pos + 2))
     telling = F.abs(ratio) * F.sqrt(F.greatest(F.col("pos") / n_pos, F.col("neg") / (n_all - n_pos)))
     top = counts.select("f", ratio.alias("r"), telling.alias("t")).orderBy(F.desc("t"), "f").limit(n_features).collect()
