@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import decontamination, jaccard_join, linededup, packing, toxicity
-from termloom.llm.common import shared_path, table, tokenizer_path
+from termloom.llm.common import remove, shared_path, table, tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,15 +47,18 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: Trained and tokenised stages have no SQL form; tests hold run() against a brute-force version.
+#: Trained and tokenised stages have no SQL form; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written to the shared folder and read again; what a stage read is deleted once
+    its own rows are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = shared_path(spark, f"pipeline-{k}-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
