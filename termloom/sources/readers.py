@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import json_repair
+from ..operators import sections
 
 RELEASE_FILES = {
     "concept": ("sct2_Concept_Snapshot_", "id BIGINT, effectiveTime STRING, active INT, moduleId BIGINT, definitionStatusId BIGINT"),
@@ -14,6 +17,8 @@ RELEASE_FILES = {
     "domain": ("der2_sssssssRefset_MRCMDomainSnapshot_", None),
     "attribute_domain": ("der2_cissccRefset_MRCMAttributeDomainSnapshot_", None),
     "attribute_range": ("der2_ssccRefset_MRCMAttributeRangeSnapshot_", None),
+    "module_scope": ("der2_ciRefset_MRCMModuleScopeSnapshot_", None),
+    "text_definition": ("sct2_TextDefinition_Snapshot-en_", "id BIGINT, effectiveTime STRING, active INT, moduleId BIGINT, conceptId BIGINT, languageCode STRING, typeId BIGINT, term STRING, caseSignificanceId BIGINT"),
 }
 
 
@@ -39,8 +44,12 @@ def release_table(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     return strings.select(*(F.col(c).cast(kinds[c]) if c in kinds else F.col(c) for c in strings.columns))
 
 
-def release(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {kind: release_table(spark, folder, kind) for kind in RELEASE_FILES}
+def release(spark: SparkSession, folder: str, kinds: list[str] | None = None, dump: str | None = None) -> dict[str, DataFrame]:
+    """The tables of a release by kind; with dump, each is also written there as headed CSV."""
+    tables = {kind: release_table(spark, folder, kind) for kind in kinds or RELEASE_FILES}
+    for kind, df in tables.items() if dump else ():
+        df.write.mode("overwrite").csv(f"{dump}/{kind}", header=True)
+    return tables
 
 
 def csv(spark: SparkSession, path: str, required: list[str] | None = None, sep: str = ",") -> DataFrame:
@@ -100,7 +109,75 @@ def xml_rows(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
 
 
 def xml_sections(documents: DataFrame, xml: str, ident: str) -> DataFrame:
-    """(ident, code, section_text) of every coded section of label documents held as strings."""
-    codes = F.xpath(F.col(xml), F.lit("//section/code/@code"))
-    bodies = F.xpath(F.col(xml), F.lit("//section[code]/text/text()"))
-    return documents.select(ident, F.explode(F.arrays_zip(codes.alias("code"), bodies.alias("section_text"))).alias("s")).select(ident, "s.code", "s.section_text")
+    """(ident, code, section_text) of every coded section of label documents held as strings, one row a section, its
+    whole narrative flattened."""
+    return sections.coded_sections(documents, ident, xml).select(ident, "code", "section_text")
+
+
+def xml_folder(spark: SparkSession, path: str) -> DataFrame:
+    """(file, xml) of every XML file of a folder or glob, each read whole."""
+    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("xml"))
+
+
+def owl_classes(spark: SparkSession, path: str, prefix: str, annotation: str) -> DataFrame:
+    """(class, label, value) of an ontology's classes whose name begins with prefix: the English label before others, and
+    the annotation as BIGINT, null where it is no number."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<owl:Class\b[^>]*rdf:about=(.*?)</owl:Class>"), F.lit(1))).alias("c"))
+    name = F.regexp_extract("c", r"""^["'][^"']*[/#]([^"'/#]+)["']""", 1)
+    label = lambda attribute: F.regexp_extract("c", rf"(?s)<rdfs:label{attribute}>([^<]*)<", 1)
+    english, any_ = label(r"[^>]*xml:lang=[\"']en[\"'][^>]*"), label(r"\b[^>]*")
+    value = F.trim(F.regexp_extract("c", rf"(?s)<{annotation}\b[^>]*>([^<]*)<", 1)).try_cast("bigint")
+    return rows.select(name.alias("class"), F.when(english != "", english).otherwise(any_).alias("label"), value.alias("value")).filter(F.col("class").startswith(prefix))
+
+
+def prediction_lists(spark: SparkSession, paths: str | list[str], id_fields: tuple[str, ...] = ("spl_set_id", "SPL_SET_ID"), field: str = "ci_text", truthy: bool = False) -> DataFrame:
+    """(SPL_SET_ID, pred_terms) of raw model outputs, one row a record: the first id that is there, or with truthy the
+    first that is not blank."""
+    lines = spark.read.text(paths).filter(F.trim("value") != "")
+    ids = [F.get_json_object("value", f"$.{f}") for f in id_fields]
+    ident = F.coalesce(*(F.when(i != "", i) for i in ids)) if truthy else F.coalesce(*ids)
+    items = F.from_json(F.get_json_object(json_repair.repaired(F.get_json_object("value", "$.raw_output")), "$.items"), "array<string>")
+    terms = F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.trim(F.get_json_object(x, f"$.{field}"))), lambda x: x != "")
+    return lines.select(ident.alias("SPL_SET_ID"), F.coalesce(terms, F.array().cast("array<string>")).alias("pred_terms"))
+
+
+def paged(spark: SparkSession, keys: DataFrame, key: str, fetch: Callable[[str, int], list[str] | None], interval: float = 0.0, retries: int = 2, partitions: int = 4) -> DataFrame:
+    """(key, page, value, error) of a paged source: fetch(key, page) gives a page's values, from page 1 until it gives
+    none. Each partition asks at most once every `interval` seconds, so partitions / interval bounds the rate. A page that
+    fails more than `retries` times gives one row with the error and ends its key."""
+
+    def run(batches):
+        import time
+
+        import pandas as pd
+
+        last = 0.0
+        for batch in batches:
+            for k in batch[key].tolist():
+                page, out = 1, []
+                while True:
+                    values, error = None, None
+                    for _ in range(retries + 1):
+                        time.sleep(max(0.0, last + interval - time.monotonic()))
+                        last = time.monotonic()
+                        try:
+                            values, error = fetch(k, page), None
+                            break
+                        except Exception as e:  # noqa: BLE001 - any failure of an outside service becomes a row
+                            error = f"{type(e).__name__}: {e}"
+                    if error is not None:
+                        out.append((k, page, None, error))
+                    out += [(k, page, v, None) for v in values or []]
+                    if not values:
+                        break
+                    page += 1
+                yield pd.DataFrame(out, columns=[key, "page", "value", "error"]).astype(object)
+
+    dealt = keys.select(F.col(key).cast("string").alias(key)).distinct().repartition(partitions, key)
+    return dealt.mapInPandas(run, f"{key} string, page int, value string, error string")
+
+
+def json_nodes(answers: DataFrame, ident: str, value: str, path: str, schema: str) -> DataFrame:
+    """answers' ident with the array at a path of their JSON as rows; answers without it give none."""
+    items = F.from_json(F.get_json_object(value, path), f"array<{schema}>")
+    return answers.select(ident, F.explode(items).alias("n")).select(ident, "n.*")

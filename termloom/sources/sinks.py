@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Columns of an aggregated table, in this order.
 AGGREGATE_COLUMNS = [
     "SPL_SET_ID", "item_index", "query_text", "mapping_source", "final_concept_id", "final_concept_term",
     "postcoord_expression", "causative_agent_id", "causative_agent_term", "severity_id", "severity_term",
@@ -22,15 +25,26 @@ def csv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str =
     df.select(*(F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in c)).write.mode(mode).csv(path, header=True, emptyValue="")
 
 
+def aggregate_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """An aggregated table as CSV: AGGREGATE_COLUMNS in order, '' for those that df lacks."""
+    full = df.withColumns({c: F.lit("") for c in AGGREGATE_COLUMNS if c not in df.columns})
+    csv(full, path, AGGREGATE_COLUMNS, mode)
+
+
 def metrics(df: DataFrame, inputs: dict[str, str]) -> DataFrame:
     """One row (value): a JSON object of the inputs and the metrics row."""
     return df.select(F.to_json(F.struct(F.struct(*(F.lit(v).alias(k) for k, v in inputs.items())).alias("inputs"), F.struct(*df.columns).alias("metrics"))).alias("value"))
 
 
-def membership_cache(memberships: DataFrame) -> DataFrame:
-    """One row (value) per attribute: {attribute: {concept: allowed}} in key order."""
+def membership_cache(memberships: DataFrame, meta: dict[str, str] | None = None) -> DataFrame:
+    """One row (value): {"meta": {...}, "memberships": {attribute: {concept: allowed}}} in key order, as
+    readers.membership_cache reads it."""
     m = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("conceptId").cast("string"), "allowed"))))
-    return memberships.groupBy("attribute").agg(m.alias("m")).select("attribute", F.to_json("m").alias("value"))
+    each = memberships.groupBy("attribute").agg(m.alias("m"))
+    every = F.map_from_entries(F.array_sort(F.collect_list(F.struct("attribute", F.to_json("m").alias("m")))))
+    body = F.array_join(F.transform(F.map_entries(every), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), e["value"])), ",")
+    told = json.dumps(meta or {}, sort_keys=True)
+    return each.agg(F.concat(F.lit('{"meta": ' + told + ', "memberships": {'), body, F.lit("}}")).alias("value"))
 
 
 def index(postings: DataFrame, path: str, rebuild: bool = False, buckets: int = 64) -> None:
