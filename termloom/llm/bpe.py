@@ -196,8 +196,12 @@ class ChunkEncoder:
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder per worker process and vocabulary."""
+def encoder(path: str, max_entries: int = 400_000) -> ChunkEncoder:
+    """One encoder per worker process and vocabulary; it takes on the last size of memo that was asked for."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[path] = ChunkEncoder(path, max_entries)
+    enc = _ENCODERS[path]
+    if max_entries < enc.max_entries:
+        enc.young, enc.old = {}, {}
+    enc.max_entries = max_entries
+    return enc

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import ship, table
+from .common import ship, table, tidy
 from .html_pages import labelled_pages
 from .trees import grow, predict
 
@@ -203,7 +203,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     ship(pages.sparkSession)
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
 
 
 def op4_html_extraction(spark, sf_dir: str) -> DataFrame:

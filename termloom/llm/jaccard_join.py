@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, table
+from .common import materialise, ship, table, tidy
 from .components import components
 from .hashing import mix, sets_of
 
@@ -73,7 +73,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(v)), pa.int32()), pa.nulls(len(v), pa.int64()), pa.array(c, pa.int64()), pa.array(v.view(np.int64)), pa.array(np.zeros(len(v)), pa.int64())], ["kind", "doc_id", "n", "k1", "k2"])
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, k1 long, k2 long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "kind int, doc_id long, n long, k1 long, k2 long")
 
 
 def bits_for(n: np.ndarray) -> np.ndarray:
@@ -111,7 +111,7 @@ def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 yield out.filter(pa.array((n > 0) & ~np.asarray(part.column(0).is_null())))
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, prefix array<long>, bitmap binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, prefix array<long>, bitmap binary")
 
 
 def folded(bitmaps: list[bytes], width: int) -> np.ndarray:
@@ -167,14 +167,14 @@ def _verify(batches: Iterator) -> Iterator:
 def near_pairs(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     """The pairs (a, b) that size and bit counts allow."""
     side = lambda x: signs.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"m{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "ma", "nb", "mb").mapInArrow(_filter_pairs, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "ma", "nb", "mb").mapInArrow(tidy(_filter_pairs), "a long, b long")
 
 
 def verified(near: DataFrame, docs: DataFrame) -> DataFrame:
     """The links among pairs (a, b), by both whole sets."""
     near = materialise(docs.sparkSession, near, "near-pairs")
     text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    return near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long").distinct()
+    return near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(tidy(_verify), "a long, b long").distinct()
 
 
 def _tile_pairs(batches: Iterator) -> Iterator:
@@ -244,7 +244,7 @@ def residual_pairs(keys: DataFrame, signs: DataFrame, comps: DataFrame, block: i
     others = F.expr("explode(transform(sequence(0, if(is_main, n_minor - 1, n_minor + n_main - 1)), o -> struct(least(o, block) as x, greatest(o, block) as y)))")
     dealt = rows.select("key", "doc", "n", "component", "block", "bitmap", others.alias("t")).select("key", "t.x", "t.y", "doc", "n", "component", "block", "bitmap")
     tiles = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return tiles.mapInArrow(_tile_pairs, "a long, b long").distinct()
+    return tiles.mapInArrow(tidy(_tile_pairs), "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:

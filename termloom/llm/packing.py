@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder, slices
-from .common import materialise, ship, table, tokenizer_path
+from .common import materialise, ship, table, tidy, tokenizer_path
 
 CAPACITY = 1024
 PIECES_PER_SHARD = 131_072
+#: Pieces of text that a worker remembers, and bytes of text that it encodes at once.
+MEMO, AT_ONCE = 150_000, 1 << 22
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -71,9 +73,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, row = encoder(tokenizer), TaskContext.get().partitionId() << 36
+        enc, row = encoder(tokenizer, MEMO), TaskContext.get().partitionId() << 36
         for batch in batches:
-            for lo, n in slices(batch.column(1)):
+            for lo, n in slices(batch.column(1), AT_ONCE):
                 ids, ends = enc.encode_with_end(batch.column(1).slice(lo, n))
                 size = np.diff(ends)
                 per = np.maximum(1, -(-size // capacity))
@@ -90,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                 row += len(doc)
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(encode, PIECES + ", row long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(encode), PIECES + ", row long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, pieces_per_shard: int = PIECES_PER_SHARD) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, slices
-from .common import shared_path, ship, table, tokenizer_path
+from .common import shared_path, ship, table, tidy, tokenizer_path
 
 BASE = 1 << 16
 SHARD_TOKENS = 1 << 20
@@ -305,7 +305,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int = SH
     ship(docs.sparkSession)
     first = F.col("doc_id").asc_nulls_first()
     ordered = docs.select("doc_id", "text").repartitionByRange(first).sortWithinPartitions(first, F.xxhash64("text"))
-    ordered.mapInArrow(_pack_shards(tokenizer, shard_tokens), SHARD_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(tidy(_pack_shards(tokenizer, shard_tokens)), SHARD_SCHEMA).write.parquet(path)
 
 
 def _unpack(batches: Iterator) -> Iterator:
@@ -337,7 +337,7 @@ def read_ids(spark, path: str) -> DataFrame:
     before_shard = F.sum("n").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     starts = totals.withColumn("in_part", F.coalesce(before_shard, F.lit(0))).join(parts.select("part", F.coalesce(before_part, F.lit(0)).alias("of_part")), "part")
     starts = starts.select("part", "shard", (F.col("of_part") + F.col("in_part")).alias("shard_start"))
-    docs = files.mapInArrow(_unpack, DECODED).join(starts, ["part", "shard"])
+    docs = files.mapInArrow(tidy(_unpack), DECODED).join(starts, ["part", "shard"])
     return docs.select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -357,7 +357,7 @@ def read_documents(spark, path: str, wanted: list[int]) -> DataFrame:
     ship(spark)
     some = set(wanted)
     files = spark.read.schema(SHARD_SCHEMA).parquet(path).filter(F.arrays_overlap("doc_id", F.array(*map(F.lit, wanted)).cast("array<long>")))
-    return files.mapInArrow(run, "doc_id long, ids array<long>")
+    return files.mapInArrow(tidy(run), "doc_id long, ids array<long>")
 
 
 def op3_repair_token_output(spark, sf_dir: str) -> DataFrame:

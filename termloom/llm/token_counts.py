@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import cuts, encoder
-from .common import ship, table, tokenizer_path
+from .common import ship, table, tidy, tokenizer_path
 
 COUNTS = "doc_id long, n_chars long, n_segments long, n_tokens long, n_edits long, n_chars_after long, n_tokens_after long, n_chars_encoded_again long"
 
@@ -120,7 +120,7 @@ def count_tokens(docs: DataFrame, edits: Column, tokenizer: str) -> DataFrame:
         import pyarrow as pa
 
         enc = encoder(tokenizer)
-        one = lambda t: len(enc.encode([t])[0]) // 4
+        one = lambda t: len(enc.raw([t])[0]) // 4
         for batch in batches:
             out: list[tuple] = []
             for lo in range(0, batch.num_rows, 256):
@@ -139,7 +139,7 @@ def count_tokens(docs: DataFrame, edits: Column, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(names))], names)
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text", edits.alias("edits")).mapInArrow(run, COUNTS)
+    return docs.select("doc_id", "text", edits.alias("edits")).mapInArrow(tidy(run), COUNTS)
 
 
 def sample_edits() -> Column:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import ship, table, tidy
 from .hashing import P, buffer_of, mix
 
 NGRAMS = (4, 5)
@@ -106,8 +106,9 @@ def _class_counts(batches: Iterator) -> Iterator:
         for lo in range(0, batch.num_rows, 256):
             rows, feats, _ = ngram_hits(batch.column(0).slice(lo, 256))
             is_pos = y[lo:][rows] == 1
-            pos += np.bincount(feats[is_pos], minlength=len(pos)).astype(np.int32)
-            neg += np.bincount(feats[~is_pos], minlength=len(neg)).astype(np.int32)
+            for counts, found in ((pos, feats[is_pos]), (neg, feats[~is_pos])):
+                f, c = np.unique_counts(found)
+                counts[f] += c.astype(np.int32)
     # a class's own n-grams are few; the common ones stay in every task and are summed
     f = np.flatnonzero(pos + neg)
     yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(pos[f], pa.int64()), pa.array(neg[f], pa.int64())], ["f", "pos", "neg"])
@@ -138,7 +139,7 @@ def fit(train: DataFrame, n_features: int = N_FEATURES) -> NbLinear:
     if not 0 < n_pos < n_all:
         base = np.clip(n_pos / n_all if n_all else 0.0, 1e-9, 1 - 1e-9)
         return NbLinear(np.zeros(0, np.int64), np.zeros(0), float(np.log(base / (1 - base))))
-    counts = train.mapInArrow(_class_counts, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = train.mapInArrow(tidy(_class_counts), "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ratio = F.log((F.col("pos") + 1) / (n_pos + 2)) - F.log((F.col("neg") + 1) / (n_all - n_pos + 2))
     telling = F.abs(ratio) * F.sqrt(F.greatest(F.col("pos") / n_pos, F.col("neg") / (n_all - n_pos)))
     top = counts.select("f", ratio.alias("r"), telling.alias("t")).orderBy(F.desc("t"), "f").limit(n_features).collect()
@@ -158,7 +159,7 @@ def fit(train: DataFrame, n_features: int = N_FEATURES) -> NbLinear:
                 yield pa.RecordBatch.from_arrays([part.column(1).cast(pa.int32()), lists], ["y", "fs"])
 
     # at most MAX_TRAIN rows with at most n_features small numbers each
-    rows = train.mapInArrow(kept, "y int, fs array<short>").toArrow()
+    rows = train.mapInArrow(tidy(kept), "y int, fs array<short>").toArrow()
     y = rows.column("y").to_numpy().astype(float)
     lists = rows.column("fs").combine_chunks()
     cols = lists.flatten().to_numpy().astype(np.int64)
@@ -182,7 +183,7 @@ def score_documents(docs: DataFrame, model: NbLinear) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.score(part.column(1), t), pa.float64())], ["doc_id", "score"])
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def reject(docs: DataFrame, model: NbLinear, threshold: float = THRESHOLD) -> DataFrame:
@@ -201,7 +202,7 @@ def reject(docs: DataFrame, model: NbLinear, threshold: float = THRESHOLD) -> Da
                 yield part.filter(pa.array(m.score(part.column(at), t) < threshold))
 
     ship(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> NbLinear:
