@@ -6,11 +6,12 @@ every STRIDE words (ITEM_STRIDE in items, so that some passage of an item lies w
 1. Document frequencies of all buckets over all documents give (squared) idf weights.
 2. A randomised SVD of passages' TF-IDF rows A gives the latent space: Y = A'(A R) for a random R is summed over the
    cluster, and the driver turns Y, BUCKETS x RANK numbers, into singular vectors by the single-pass (Nystroem) scheme.
-   The space is fitted on about BASIS_DOCS documents, dealt by a hash of the text; every document is searched.
+   The space is fitted on all documents, whatever their number.
 3. Chunks of every document are bounded first: a text with LCS_PARAPHRASE of an item's words holds a part of its rarest
    words, and near them enough of its words (see spots). This bound is exact: what fails it is no leak.
 4. Passages of what is left are projected and compared with the item's passages by cosine. A cosine of COSINE gives a
-   region aligned to the item; the grid regions of step 3 follow, so that a leak which the cosine misses is found too.
+   region aligned to the item; the grid regions of step 3 follow. Each aligned region lies within one of the grid, so
+   which leaks there are, and their shares, never depends on the space: it gives the cosine and the place.
 5. In each region with enough of the item's words, the longest common subsequence of the item's words and the
    document's decides: a share of LCS_SURE of the item is a leak; so is LCS_PARAPHRASE if the item's answer, its last
    ANSWER words, comes back with ANSWER_SHARE in order too.
@@ -44,8 +45,6 @@ LCS_SURE, LCS_PARAPHRASE = 0.8, 0.6
 ANSWER, ANSWER_SHARE = 8, 0.75
 MIN_WORDS = 5
 ITEM_BLOCK = 16_384
-#: Documents, about, that the latent space is fitted on.
-BASIS_DOCS = 16_384
 HITS = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, place long"
 #: Bytes of text whose words are hashed at once.
 SLICE = 1 << 20
@@ -139,7 +138,7 @@ def latent_basis(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
                 start = np.flatnonzero(place % WINDOW == 0)
                 passage = np.add.reduceat(weighted[b], start, axis=0)
                 of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(b)]))
-                order = np.argsort(b, kind="stable")
+                order = np.argsort(b.astype(np.uint16), kind="stable")  # two bytes: a radix sort
                 at = np.flatnonzero(np.r_[True, np.diff(b[order]) != 0])
                 y[b[order][at]] += np.add.reduceat(passage[of[order]], at, axis=0)
         some = np.flatnonzero(np.abs(y).sum(axis=1))
@@ -201,7 +200,8 @@ class ItemBlock:
         self.keys, self.times = np.unique(rows * BUCKETS + _buckets(h), return_counts=True)
         item = self.keys // BUCKETS
         self.size = np.bincount(rows, minlength=len(ids))
-        self.span = self.size + 2 * (STRIDE + self.size // 4)  # words of a region
+        # words of a grid region: an aligned one, and a stride, so that each aligned one lies within one of the grid
+        self.span = self.size + 2 * (STRIDE + self.size // 4) + STRIDE
         # the fewest words that can be a leak, and the rarest buckets of which a leak needs `least` words
         self.need = np.ceil(LCS_PARAPHRASE * self.size - 1e-9).astype(np.int64)
         rarity = idf if idf is not None else np.linalg.norm(weighted, axis=1)
@@ -387,12 +387,13 @@ def item_blocks(items: DataFrame, weighted: np.ndarray, idf: np.ndarray) -> Iter
         yield ItemBlock([r.item_id for r in rows], [r.text for r in rows], weighted, idf)
 
 
-def latent_space(docs: DataFrame, basis_docs: int = BASIS_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """(BUCKETS x RANK weighted basis, idf weights): frequencies of all documents, the basis from about basis_docs."""
+def latent_space(docs: DataFrame, basis_docs: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(BUCKETS x RANK weighted basis, idf weights) of all documents. A caller that asks for it gets the basis of about
+    basis_docs of them, dealt by a hash of the text; the queries never do."""
     ship(docs.sparkSession)
     df, n = document_frequencies(docs)
     idf = idf_weights(df, n)
-    some = docs if n <= basis_docs else docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * basis_docs / n))
+    some = docs if basis_docs is None or n <= basis_docs else docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * basis_docs / n))
     return latent_basis(some, idf) * idf[:, None], idf
 
 
