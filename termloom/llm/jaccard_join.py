@@ -11,8 +11,11 @@ A-Z lowered; a shorter text is one shingle). No link between different sets is l
    by bitmap: |A & B| <= n_A - bits in A and not in B, and the same for B. What passes is verified on sorted arrays of
    both whole sets, and components of the links are found.
 4. Second round: in tiles that still hold more than one component, all pairs of different components not yet compared
-   are tested the same way. The largest component of a tile is never compared with itself, and both it and the rest are
-   dealt to blocks of BLOCK rows, so that no task holds a whole hot tile. What links are found join components.
+   are tested by size and bitmap. The largest component of a tile is never compared with itself, and both it and the rest
+   are dealt to blocks of BLOCK rows, so that no task holds a whole hot tile. A pair that met in a smaller key is left to
+   that key's tile, as far as the LEAST smallest keys of both rows tell. What passes leaves no row a pair: the documents
+   that have a pair are cut into parts of PART, and a pair of parts with their texts is one task's group, which compares
+   the whole sets and returns no more links than join the components.
 
 Null and empty texts, and texts without words, have n_shingles 0 and are their own component. A null doc_id is linked
 with nothing and has a null component. Rows that repeat a doc_id are one document: their links add up; each row is
@@ -34,6 +37,9 @@ from .hashing import mix, sets_of
 SIZE = 5
 PERCENT = 80
 BLOCK = 1024
+PART = 64
+LEAST = 8
+FLIP = -(1 << 63)  # turns the order of signed numbers into that of unsigned ones, in which prefixes are chosen
 HOT_ROWS = 1 << 17
 SLICE = 512
 MIN_BITS, MAX_BITS = 256, 65_536
@@ -160,7 +166,7 @@ def _verify(batches: Iterator) -> Iterator:
             both, at = both[order], at[order]
             twice = np.flatnonzero((both[1:] == both[:-1]) & (at[1:] == at[:-1])) if len(both) else np.zeros(0, np.int64)
             shared = np.bincount(at[twice], minlength=part.num_rows)
-            keep = 100 * shared >= PERCENT * (na + nb - shared)
+            keep = (shared > 0) & (100 * shared >= PERCENT * (na + nb - shared))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
@@ -177,17 +183,29 @@ def verified(near: DataFrame, docs: DataFrame) -> DataFrame:
     return near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(tidy(_verify), "a long, b long").distinct()
 
 
-def _tile_pairs(batches: Iterator) -> Iterator:
-    """Pairs of different components that may link, in tiles that arrive sorted by (key, x, y)."""
+def _first_met(key: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether no key below this one is among both rows' least keys; if one is, the pair meets in that key's tile too."""
+    met = np.zeros(len(a), dtype=bool)
+    for k in range(a.shape[1]):
+        met |= (a[:, k] < key) & (a[:, k, None] == b).any(axis=1)
+    return ~met
+
+
+def _tile_parts(batches: Iterator) -> Iterator:
+    """Documents to compare by whole sets, from tiles that arrive sorted by (key, x, y): of each tile those with a pair of
+    different components that may link and met in no smaller key, cut into parts p of PART; each pair of parts (p, q)
+    with such a pair gets the documents that have one."""
     import pandas as pd
     import pyarrow as pa
 
+    names = ["key", "x", "y", "p", "q", "part", "doc", "component"]
+
     def pairs(tile: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        x, y = int(tile["x"].iloc[0]), int(tile["y"].iloc[0])
-        doc, n, comp, block = (tile[c].to_numpy() for c in ("doc", "n", "component", "block"))
+        key, x, y = (int(tile[c].iloc[0]) for c in ("key", "x", "y"))
+        n, comp, block = (tile[c].to_numpy() for c in ("n", "component", "block"))
         a = np.flatnonzero(block == x)
         b = a if x == y else np.flatnonzero(block == y)
-        maps = tile["bitmap"].tolist()
+        maps, least = tile["bitmap"].tolist(), None
         out_a, out_b = [], []
         # size bands: by width of bitmap, rows against the rows of their own and the next width
         width = bits_for(n)
@@ -202,11 +220,35 @@ def _tile_pairs(batches: Iterator) -> Iterator:
                     for k in range(0, len(p), step):
                         ok = may_link(n[p[k : k + step], None], mp[k : k + step, None], n[None, q], mq[None]) & (comp[p[k : k + step], None] != comp[None, q])
                         i, j = np.nonzero(ok)
-                        out_a.append(doc[p[k + i]])
-                        out_b.append(doc[q[j]])
+                        if not len(i):
+                            continue
+                        if least is None:
+                            least = np.full((len(tile), LEAST), np.iinfo(np.int64).max)  # no key is above it
+                            for row, keys in zip(least, tile["least"], strict=True):
+                                row[: len(keys)] = keys
+                        i, j = p[k + i], q[j]
+                        for c in range(0, len(i), 1 << 16):
+                            ic, jc = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
+                            first = _first_met(key ^ FLIP, least[ic], least[jc])
+                            out_a.append(ic[first])
+                            out_b.append(jc[first])
         z = np.zeros(0, dtype=np.int64)
         return np.concatenate([z, *out_a]), np.concatenate([z, *out_b])
 
+    def parts(tile: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        doc, x, y = tile["doc"].to_numpy(), int(tile["x"].iloc[0]), int(tile["y"].iloc[0])
+        docs_a, at = np.unique(doc[np.r_[a, b] if x == y else a], return_index=True)
+        docs_b, bt = (docs_a[:0], at[:0]) if x == y else np.unique(doc[b], return_index=True)
+        ids, row = np.r_[docs_a, docs_b], np.r_[(np.r_[a, b] if x == y else a)[at], b[bt]]
+        part = np.r_[np.arange(len(docs_a)) // PART, -(-len(docs_a) // PART) + np.arange(len(docs_b)) // PART]
+        i = np.searchsorted(docs_a, doc[a])
+        j = np.searchsorted(docs_a, doc[b]) if x == y else len(docs_a) + np.searchsorted(docs_b, doc[b])
+        pq = np.minimum(part[i], part[j]) * (part[-1] + 1) + np.maximum(part[i], part[j])
+        cells = np.unique(np.r_[pq * len(ids) + i, pq * len(ids) + j])
+        pq, at = cells // len(ids), cells % len(ids)
+        fixed = [np.full(len(cells), tile[c].iloc[0]) for c in ("key", "x", "y")]
+        return [*fixed, *(c.astype(np.int32) for c in (pq // (part[-1] + 1), pq % (part[-1] + 1), part[at])), ids[at], tile["component"].to_numpy()[row[at]]]
+
     held: list[pd.DataFrame] = []
 
     def flush(tiles: pd.DataFrame):
@@ -214,7 +256,7 @@ def _tile_pairs(batches: Iterator) -> Iterator:
             if tile["component"].nunique() > 1:
                 a, b = pairs(tile)
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts(tile, a, b)], names)
 
     for batch in batches:
         frame = batch.to_pandas()
@@ -230,8 +272,72 @@ def _tile_pairs(batches: Iterator) -> Iterator:
         yield from flush(pd.concat(held))
 
 
-def residual_pairs(keys: DataFrame, signs: DataFrame, comps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs of members of one tile, the tile's smallest left out, that lie in different components and may link."""
+def spanning_links(values: list[np.ndarray], doc: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links of rows left with rows right (ascending values, whole sets) that join different components, no more than it
+    takes to join them."""
+    top: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in top:
+            c = top[c]
+        return c
+
+    if len(left) > len(right):
+        left, right = right, left
+    n = np.array([len(v) for v in values])
+    off = np.r_[0, np.cumsum(n[right])]
+    every, code = np.unique(np.concatenate([values[j] for j in right]), return_inverse=True)
+    out = []
+    for i in left:
+        at = np.searchsorted(every, values[i])
+        at = at[every[np.minimum(at, len(every) - 1)] == values[i]] if len(every) else at[:0]
+        found = np.zeros(len(every), dtype=bool)
+        found[at] = True
+        ends = np.r_[0, np.cumsum(found[code])]
+        shared = ends[off[1:]] - ends[off[:-1]]
+        for j in right[(shared > 0) & (100 * shared >= PERCENT * (n[i] + n[right] - shared))]:
+            a, b = root(int(comp[i])), root(int(comp[j]))
+            if a != b:
+                top[max(a, b)] = min(a, b)
+                out.append((min(int(doc[i]), int(doc[j])), max(int(doc[i]), int(doc[j]))))
+    return out
+
+
+def _part_links(batches: Iterator) -> Iterator:
+    """Links that join components, from pairs of parts with texts that arrive sorted by (key, x, y, p, q)."""
+    import pyarrow as pa
+
+    held: list[tuple] = []  # of the pair of parts that is open: p, q, part, doc, component, set
+    found: list[tuple[int, int]] = []
+    name = None
+
+    def close() -> None:
+        p, q, part, doc, comp = (np.array(c) for c in list(zip(*held, strict=True))[:5])
+        found.extend(spanning_links([h[5] for h in held], doc, comp, np.flatnonzero(part == p[0]), np.flatnonzero(part == q[0])))
+        held.clear()
+
+    def links() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        found.clear()
+        return out
+
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            cut = batch.slice(lo, SLICE)
+            values, off = sets_of(cut.column(8), SIZE)
+            for k, row in enumerate(zip(*(cut.column(c).to_pylist() for c in range(8)), strict=True)):
+                if held and row[:5] != name:
+                    close()
+                name = row[:5]
+                held.append((*row[3:], values[off[k] : off[k + 1]].copy()))
+        yield links()
+    if held:
+        close()
+        yield links()
+
+
+def residual_parts(keys: DataFrame, signs: DataFrame, comps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Parts of tiles, the tile's smallest member left out, that hold pairs of different components that may link."""
     named = keys.filter(F.col("doc") != F.col("pivot")).join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
     named = materialise(keys.sparkSession, named, "tile-rows")
     per = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
@@ -240,11 +346,20 @@ def residual_pairs(keys: DataFrame, signs: DataFrame, comps: DataFrame, block: i
     tiles = tiles.select("key", "main", n_minor.alias("n_minor"), n_main.alias("n_main"))
     rows = named.join(tiles, "key").withColumn("is_main", F.col("component") == F.col("main"))
     spot = F.when(F.col("is_main"), F.col("n_minor") + F.pmod(F.xxhash64("doc"), F.col("n_main"))).otherwise(F.pmod(F.xxhash64("doc"), F.col("n_minor"))).cast("int")
-    rows = rows.withColumn("block", spot).join(signs.select(F.col("doc_id").alias("doc"), "n", "bitmap"), "doc")
+    told = signs.select(F.col("doc_id").alias("doc"), "n", "bitmap", F.slice(F.sort_array(F.transform("prefix", lambda k: k.bitwiseXOR(F.lit(FLIP)))), 1, LEAST).alias("least"))
+    rows = rows.withColumn("block", spot).join(told, "doc")
     others = F.expr("explode(transform(sequence(0, if(is_main, n_minor - 1, n_minor + n_main - 1)), o -> struct(least(o, block) as x, greatest(o, block) as y)))")
-    dealt = rows.select("key", "doc", "n", "component", "block", "bitmap", others.alias("t")).select("key", "t.x", "t.y", "doc", "n", "component", "block", "bitmap")
+    dealt = rows.select("key", "doc", "n", "component", "block", "bitmap", "least", others.alias("t")).select("key", "t.x", "t.y", "doc", "n", "component", "block", "bitmap", "least")
     tiles = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return tiles.mapInArrow(tidy(_tile_pairs), "a long, b long").distinct()
+    return tiles.mapInArrow(tidy(_tile_parts), "key long, x int, y int, p int, q int, part int, doc long, component long")
+
+
+def part_links(parts: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links that join components within pairs of parts, by whole sets."""
+    parts = materialise(docs.sparkSession, parts, "tile-parts")
+    unit = ["key", "x", "y", "p", "q"]
+    rows = parts.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").select(*unit, "part", "doc", "component", "text")
+    return rows.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(tidy(_part_links), "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -266,7 +381,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     stars = keys.filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
     first = materialise(spark, verified(near_pairs(stars, signs), docs), "links")
     comps = components(first, "a", "b")
-    second = verified(residual_pairs(keys, signs, comps), docs)
+    second = part_links(residual_parts(keys, signs, comps), docs)
     # a row's set class may stand for another doc_id (equal sets), and a doc_id may have several sets
     members = live.join(same, ["k1", "k2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = first.unionByName(second).unionByName(members.filter("a <> b"))
